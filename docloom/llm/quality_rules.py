@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docloom.llm.common import SPACES, stored, text_of, words_of
 
 #: Rates that speak against a document when high, with the spread that counts at least: where a group's quartiles (nearly) coincide, the fence still leaves clean rows room.
-RATES = {"symbol_rate": 0.02, "upper_rate": 0.05, "dup_line_rate": 0.1, "repeat_rate": 0.1}
+RATES = {"symbol_rate": 0.02, "upper_rate": 0.05, "dup_line_rate": 0.2, "repeat_rate": 0.15}
 #: The same for the mean word length, fenced on both sides.
 LENGTH_SPREAD = 0.5
 METRICS = [*RATES, "mean_length"]

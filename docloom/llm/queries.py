@@ -89,7 +89,7 @@ a AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND coalesce(
     m1 <= q[1][2] + 3 * greatest(q[1][2] - q[1][1], 0.02) AND m2 <= q[2][2] + 3 * greatest(q[2][2] - q[2][1], 0.05)
-    AND m3 <= q[3][2] + 3 * greatest(q[3][2] - q[3][1], 0.1) AND m4 <= q[4][2] + 3 * greatest(q[4][2] - q[4][1], 0.1)
+    AND m3 <= q[3][2] + 3 * greatest(q[3][2] - q[3][1], 0.2) AND m4 <= q[4][2] + 3 * greatest(q[4][2] - q[4][1], 0.15)
     AND m5 <= q[5][2] + 3 * greatest(q[5][2] - q[5][1], 0.5) AND m5 >= q[5][1] - 3 * greatest(q[5][2] - q[5][1], 0.5), true) AS kept
 FROM y
 """,
