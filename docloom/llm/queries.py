@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import packing, quality_rules, topk, warc
+from docloom.llm import packing, quality_rules, tokens, topk, warc
 from docloom.llm.common import table
 
 
@@ -14,6 +14,15 @@ def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5)
 
 
+def op5_token_ids(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = str(public_tokenizers.path("word_bpe_49k.json"))
+    entries = tokens.write_shards(table(spark, sf_dir, "documents"), tokenizer)
+    return tokens.read_back(entries.select("doc_id", "seen"), tokens.build_index(entries), entries)
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -28,6 +37,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_exact_topk": op2_exact_topk,
+    "op5_token_ids": op5_token_ids,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_warc": op7_warc,
     "op10_quality_rules": op10_quality_rules,
