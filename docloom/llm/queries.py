@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import near_dup, packing, quality_rules, tokens, topk, warc
+from docloom.llm import mixing, near_dup, packing, quality_rules, tokens, topk, warc
 from docloom.llm.common import table
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("text_key")
+
+
 def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.quantised(table(spark, sf_dir, "embeddings"))
     return topk.search(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5)
@@ -40,6 +44,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_source_mixing": op1_source_mixing,
     "op2_exact_topk": op2_exact_topk,
     "op5_token_ids": op5_token_ids,
     "op6_best_fit_packing": op6_best_fit_packing,
@@ -49,6 +54,47 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_source_mixing": """
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, source, coalesce(text, '') AS t,
+         CASE WHEN regexp_extract(source, '([0-9]{1,9})$', 1) = '' OR source IS NULL THEN 'other'
+              ELSE 'domain' || (regexp_extract(source, '([0-9]{1,9})$', 1)::BIGINT % 4) END AS domain
+  FROM documents
+), r AS (
+  SELECT doc_id, domain, lang, source, len(list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))::BIGINT AS n_tokens FROM d
+), leaf AS (
+  SELECT domain, lang, source, sum(n_tokens)::DOUBLE AS supply, 4 * sum(n_tokens)::DOUBLE AS cap FROM r GROUP BY ALL
+), wd(domain, w) AS (VALUES ('domain0', 4.0::DOUBLE), ('domain1', 3), ('domain2', 2), ('domain3', 1), ('other', 1)),
+wl(lang, w) AS (VALUES ('en', 6.0::DOUBLE), ('fr', 2), ('de', 2), ('es', 1)),
+c1 AS (SELECT domain, cap, w, cap / w AS ratio FROM (SELECT domain, sum(cap) AS cap FROM leaf GROUP BY domain) JOIN wd USING (domain)),
+l1 AS (
+  SELECT *, (least((SELECT sum(supply) FROM leaf), sum(cap) OVER ()) - coalesce(sum(cap) OVER p, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER p, 0)) AS lev
+  FROM c1 WINDOW p AS (ORDER BY ratio, domain ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), s1 AS (
+  SELECT domain, least(cap, coalesce(w * (SELECT arg_min(lev, ratio) FROM l1 WHERE ratio > lev), cap)) AS above FROM l1
+), c2 AS (
+  SELECT domain, lang, cap, coalesce(w, 1) AS w, cap / coalesce(w, 1) AS ratio, above
+  FROM (SELECT domain, lang, sum(cap) AS cap FROM leaf GROUP BY domain, lang) JOIN s1 USING (domain) LEFT JOIN wl USING (lang)
+), l2 AS (
+  SELECT *, (above - coalesce(sum(cap) OVER p, 0)) / (sum(w) OVER (PARTITION BY domain) - coalesce(sum(w) OVER p, 0)) AS lev
+  FROM c2 WINDOW p AS (PARTITION BY domain ORDER BY ratio, lang ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), f2 AS (SELECT domain, arg_min(lev, ratio) AS stand FROM l2 WHERE ratio > lev GROUP BY domain),
+s2 AS (SELECT l2.domain, lang, least(cap, coalesce(w * f2.stand, cap)) AS above FROM l2 LEFT JOIN f2 USING (domain)),
+l3 AS (
+  SELECT leaf.*, (above - coalesce(sum(cap) OVER p, 0)) / (count(*) OVER (PARTITION BY domain, lang) - coalesce(count(*) OVER p, 0)) AS lev
+  FROM leaf JOIN s2 USING (domain, lang)
+  WINDOW p AS (PARTITION BY domain, lang ORDER BY cap, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), f3 AS (SELECT domain, lang, arg_min(lev, cap) AS stand FROM l3 WHERE cap > lev GROUP BY domain, lang),
+b AS (
+  SELECT domain, lang, source, supply::BIGINT AS supply, floor(least(cap, coalesce(f3.stand, cap)) + 1e-6)::BIGINT AS budget FROM l3 LEFT JOIN f3 USING (domain, lang)
+), e AS (SELECT *, CASE WHEN supply > 0 THEN budget // supply ELSE 0 END AS epochs FROM b),
+o AS (
+  SELECT r.*, budget, epochs, budget - epochs * supply AS rest,
+         coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('17:' || epochs || ':' || doc_id), n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+  FROM r JOIN e USING (domain, lang, source)
+)
+SELECT doc_id, domain, lang, source, n_tokens, budget AS leaf_budget, (epochs + (ahead < rest)::BIGINT)::BIGINT AS repeats FROM o
+""",
     "op2_exact_topk": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
