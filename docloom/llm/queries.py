@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import mixing, near_dup, packing, quality_rules, tokens, topk, warc
+from docloom.llm import kneser_ney, mixing, near_dup, packing, quality_rules, tokens, topk, warc
 from docloom.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5)
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_token_ids(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     if tokenizer is None:
         import public_tokenizers
@@ -46,6 +50,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
     "op2_exact_topk": op2_exact_topk,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_token_ids": op5_token_ids,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_warc": op7_warc,
