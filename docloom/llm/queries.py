@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import kneser_ney, mixing, near_dup, packing, quality_rules, tokens, topk, toxicity, warc
+from docloom.llm import kneser_ney, mixing, near_dup, packing, pii, quality_rules, tokens, topk, toxicity, warc
 from docloom.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5)
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -55,6 +59,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
     "op2_exact_topk": op2_exact_topk,
+    "op3_pii": op3_pii,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_token_ids": op5_token_ids,
     "op6_best_fit_packing": op6_best_fit_packing,
