@@ -242,9 +242,9 @@ def score(docs: DataFrame, files: list[tuple]) -> DataFrame:
                 chars = np.bincount(doc, weights=n[codes], minlength=part.num_rows).astype(np.int64) if len(codes) else np.zeros(part.num_rows, np.int64)
                 with np.errstate(divide="ignore", invalid="ignore"):
                     ppl = np.exp(-total / chars)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(chars), pa.array(ppl, mask=~np.isfinite(ppl))], names=["doc_id", "lang", "n_chars_scored", "perplexity"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(chars), pa.array(ppl, mask=~np.isfinite(ppl))], names=["doc_id", "lang", "text_key", "n_chars_scored", "perplexity"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text_of("text").alias("text")).mapInArrow(run, "doc_id long, lang string, n_chars_scored long, perplexity double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text_of("text").alias("text"), F.xxhash64("text").alias("text_key")).mapInArrow(run, "doc_id long, lang string, text_key long, n_chars_scored long, perplexity double")
 
 
 def fold(doc_id: Column) -> Column:
@@ -278,4 +278,12 @@ def classify(docs: DataFrame, labels: DataFrame, *, quantile: float = 0.98, slac
     # a row a language: some hundreds at most, whatever the corpus
     out = scored.join(F.broadcast(limits), F.coalesce("lang", F.lit("")) == F.col("l_lang"), "left")
     kept = F.when(F.col("n_chars_scored") == 0, F.lit(False)).otherwise(F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))
-    return out.select("doc_id", "lang", "n_chars_scored", "perplexity", "threshold", kept.alias("kept"))
+    return out.select("doc_id", "lang", "text_key", "n_chars_scored", "perplexity", "threshold", kept.alias("kept"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that ``classify`` keeps, with all columns. Equal rows have one verdict."""
+    judged = classify(docs, labels, **options)
+    bad = judged.where(~F.col("kept")).select(F.col("doc_id").alias("q_id"), F.col("lang").alias("q_lang"), F.col("text_key").alias("q_key")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("q_id")) & F.col("lang").eqNullSafe(F.col("q_lang")) & (F.xxhash64("text") == F.col("q_key"))
+    return docs.join(bad, same, "left_anti")

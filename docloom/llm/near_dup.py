@@ -8,7 +8,7 @@ from math import comb
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.common import forget, stored, text_of
@@ -18,7 +18,7 @@ BANDS, ROWS = 36, 5
 HASHES = BANDS * ROWS
 #: MinHash values compared at a time.
 STEP = 20
-SKETCH = "doc_id long, fp binary, n int, sig binary"
+SKETCH = "doc_id long, text_key long, fp binary, n int, sig binary"
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -112,9 +112,9 @@ def sketches(docs: DataFrame) -> DataFrame:
                 sets, bounds = shingle_sets(part.column(1))
                 sig = signatures(sets, bounds)
                 prints = [hashlib.md5(sets[a:b].tobytes()).digest() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints, pa.binary()), pa.array(np.diff(bounds).astype(np.int32)), pa.array([x.tobytes() for x in sig], pa.binary())], names=["doc_id", "fp", "n", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(prints, pa.binary()), pa.array(np.diff(bounds).astype(np.int32)), pa.array([x.tobytes() for x in sig], pa.binary())], names=["doc_id", "text_key", "fp", "n", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text")).mapInArrow(run, SKETCH)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"), F.xxhash64("text").alias("text_key")).mapInArrow(run, SKETCH)
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -333,5 +333,14 @@ def classes(docs: DataFrame, *, threshold: float = 0.8, tolerance: float = 1e-6,
     known = reps.select("fp", "copies", "least").join(joined, "fp", "left").join(counts, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     heads = known.groupBy("root").agg(F.min("least").alias("class_id"))
     texts_of = stored(known.join(heads, "root").select("fp", "class_id", F.col("least").alias("copy_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links")), "near-classes")
-    linked = every.where("n > 0").select("doc_id", "fp").join(texts_of, "fp").select("doc_id", "class_id", "n_links", "copy_id")
-    return linked.unionByName(every.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("copy_id")))
+    linked = every.where("n > 0").select("doc_id", "text_key", "fp").join(texts_of, "fp").select("doc_id", "class_id", "n_links", "copy_id", "text_key")
+    return linked.unionByName(every.where("n = 0").select("doc_id", "text_key", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("copy_id")))
+
+
+def distinct_texts(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with one row of each class: of the least doc_id, and where several rows share that id, one of them."""
+    heads = classes(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("text_key").alias("k_key")).withColumnRenamed("class_id", "k_id")
+    columns = docs.columns
+    mine = docs.withColumn("k_text", F.xxhash64("text")).join(heads, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("k_text") == F.col("k_key")))
+    one = Window.partitionBy("k_id", "k_key").orderBy("k_id")
+    return mine.withColumn("k_row", F.row_number().over(one)).where("k_row = 1").select(*(F.col(f"`{c}`") for c in columns))
