@@ -55,6 +55,9 @@ class Engine:
             out.register(name, spark.read.parquet(f"{folder}/{name}.parquet"), key)
         return out
 
+    def has(self, name: str) -> bool:
+        return name in self.tables
+
     def frame(self, name: str) -> DataFrame:
         if name not in self.tables:
             return self.spark.createDataFrame([], T.StructType([T.StructField("_id", T.StringType())]))
@@ -64,7 +67,7 @@ class Engine:
         return Collection(self, name)
 
     def create(self, name: str) -> Collection:
-        if name in self.tables:
+        if self.has(name):
             raise BadSpec(f"{name} exists")
         return self.register(name, self.frame(name))
 
@@ -201,12 +204,12 @@ class Collection:
         if not docs:
             return []
         new = frame_of(self.engine.spark, docs)
-        self._swap(aligned(self.df, new) if self.name in self.engine.tables else new)
+        self._swap(aligned(self.df, new) if self.engine.has(self.name) else new)
         return [d["_id"] for d in docs]
 
     def insert_frame(self, df: DataFrame) -> None:
         """Adds the rows of a data frame, without passing the driver."""
-        self._swap(aligned(self.df, df) if self.name in self.engine.tables else df)
+        self._swap(aligned(self.df, df) if self.engine.has(self.name) else df)
 
     def _hits(self, filter: dict, first_only: bool) -> DataFrame:
         """All rows with ``__hit``; of the first match only, by the collection's key."""
