@@ -1,4 +1,4 @@
-"""Filter documents to boolean columns; never null."""
+"""Filter documents to boolean columns; null stands for false, so that comparisons reach the scan as they are."""
 
 from __future__ import annotations
 
@@ -15,10 +15,6 @@ from docloom.functions.expressions import compile_expr
 from docloom.functions.values import Scope, Value
 
 
-def sure(c: Column) -> Column:
-    return F.coalesce(c, F.lit(False))
-
-
 def equals(v: Value, operand) -> Column:
     """A null field or operand never equals; numbers compare as numbers, else by value or by text. Arrays only as a whole."""
     x = V.constant(operand)
@@ -26,19 +22,19 @@ def equals(v: Value, operand) -> Column:
         return F.lit(False)
     if v.is_number and x.is_number:
         same_kind = isinstance(v.dtype, T.IntegralType) and isinstance(x.dtype, T.IntegralType)
-        return sure(v.col == (x.col if same_kind else x.col.cast("double")))
+        return (v.col == (x.col if same_kind else x.col.cast("double")))
     if v.is_text and x.is_text or (isinstance(v.dtype, T.BooleanType) and isinstance(x.dtype, T.BooleanType)):
-        return sure(v.col == x.col)
+        return (v.col == x.col)
     if v.is_time and x.is_time:
-        return sure(v.col.cast("timestamp") == x.col)
-    return sure(V.text(v) == V.text(x))
+        return (v.col.cast("timestamp") == x.col)
+    return (V.text(v) == V.text(x))
 
 
 def ordered(v: Value, operand, test) -> Column:
     """Numbers only; anything else on either side is false."""
     if not v.is_number or isinstance(operand, bool) or not isinstance(operand, int | float):
         return F.lit(False)
-    return sure(test(v.col, F.lit(operand)))
+    return (test(v.col, F.lit(operand)))
 
 
 def among(v: Value, operand) -> Column:
@@ -47,10 +43,10 @@ def among(v: Value, operand) -> Column:
     if v.is_null or not operand:
         return F.lit(False)
     if v.is_array:
-        return sure(F.exists(v.col, lambda e: reduce(lambda a, b: a | b, (equals(Value(e, v.element), x) for x in operand))))
+        return (F.exists(v.col, lambda e: reduce(lambda a, b: a | b, (equals(Value(e, v.element), x) for x in operand))))
     plain = (v.is_text and all(isinstance(x, str) for x in operand)) or (isinstance(v.dtype, T.IntegralType) and all(isinstance(x, int) and not isinstance(x, bool) for x in operand))
     if plain:
-        return sure(v.col.isin(operand))
+        return (v.col.isin(operand))
     return reduce(lambda a, b: a | b, (equals(v, x) for x in operand))
 
 
@@ -59,13 +55,13 @@ OPERATORS = {
     "$gte": lambda v, x: ordered(v, x, lambda a, b: a >= b),
     "$lt": lambda v, x: ordered(v, x, lambda a, b: a < b),
     "$lte": lambda v, x: ordered(v, x, lambda a, b: a <= b),
-    "$ne": lambda v, x: F.lit(False) if v.is_null else v.col.isNotNull() & ~equals(v, x),
+    "$ne": lambda v, x: F.lit(False) if v.is_null else v.col.isNotNull() & ~F.coalesce(equals(v, x), F.lit(False)),
     "$in": among,
 }
 
 
 def compile_filter(spec: dict, scope: Scope) -> Column:
-    """All keys must hold. Unknown operators raise instead of matching nothing."""
+    """All keys must hold; null means no. Unknown operators raise instead of matching nothing."""
     if not isinstance(spec, dict):
         raise BadSpec("a filter is a document")
     tests = []

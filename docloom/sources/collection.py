@@ -214,7 +214,7 @@ class Collection:
     def _hits(self, filter: dict, first_only: bool) -> DataFrame:
         """All rows with ``__hit``; of the first match only, by the collection's key."""
         df = self.df
-        rows = df.withColumn("__hit", compile_filter(filter, Scope(df.schema)))
+        rows = df.withColumn("__hit", F.coalesce(compile_filter(filter, Scope(df.schema)), F.lit(False)))
         if not first_only:
             return rows
         key = self.engine.keys.get(self.name)
