@@ -54,14 +54,14 @@ def budgets(leaves: DataFrame, weights: dict, share: float, max_epochs: int) ->
     # a weight of 0 anywhere above takes a leaf out, so that no cap counts what cannot be given
     usable = weight_of("domain", weights) * weight_of("lang", weights) * weight_of("source", weights) > 0
     leaf = leaves.withColumn("cap", F.when(usable, F.col("supply").cast("double") * max_epochs).otherwise(F.lit(0.0)))
-    lang = leaf.groupBy("domain", "lang").agg(F.sum("cap").alias("cap"))
-    domain = lang.groupBy("domain").agg(F.sum("cap").alias("cap"))
-    goal = leaves.agg((F.sum("supply") * F.lit(share)).alias("goal"))
-    total = Window.partitionBy(F.lit(1))
-    domain = domain.join(F.broadcast(goal)).withColumn("all", F.sum("cap").over(total))  # one row
-    domain = poured(domain.withColumn("w", weight_of("domain", weights)), [], "domain", F.least("goal", "all")).select("domain", F.col("share").alias("above"))
+    up = [F.sum("cap").alias("cap"), F.sum("supply").alias("supply")]
+    lang = leaf.groupBy("domain", "lang").agg(*up)
+    domain = lang.groupBy("domain").agg(*up)
+    total = Window.partitionBy(F.lit(1))  # a row a domain
+    domain = domain.withColumn("all", F.least(F.sum("cap").over(total), F.sum("supply").over(total) * F.lit(share)))
+    domain = poured(domain.withColumn("w", weight_of("domain", weights)), [], "domain", F.col("all")).select("domain", F.col("share").alias("above"))
     null_safe = lambda a, b, keys: a.join(b.withColumnsRenamed({k: f"_{k}" for k in keys}), [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]).drop(*(f"_{k}" for k in keys))
-    lang = null_safe(lang, domain, ["domain"]).withColumn("w", weight_of("lang", weights))
+    lang = null_safe(lang.drop("supply"), domain, ["domain"]).withColumn("w", weight_of("lang", weights))
     lang = poured(lang, ["domain"], "lang", F.col("above")).select("domain", "lang", F.col("share").alias("above"))
     leaf = null_safe(leaf, lang, ["domain", "lang"]).withColumn("w", weight_of("source", weights))
     leaf = poured(leaf, ["domain", "lang"], "source", F.col("above"))

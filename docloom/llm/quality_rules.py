@@ -81,9 +81,12 @@ def fences(rows: DataFrame, *, k: int, reach: float, least_rows: int) -> DataFra
     names = [f"{m}_{q}" for m in METRICS for q in (25, 75)]
     a = quartiles(own, ["lang", "source"])
     b = quartiles(own.groupBy("lang").agg(*merged), ["lang"]).select(F.col("lang").alias("b_lang"), F.col("n").alias("b_n"), *(F.col(x).alias(f"b_{x}") for x in names))
-    c = quartiles(own.agg(*merged).where("n > 0"), []).select(F.lit(1).alias("c_one"), *(F.col(x).alias(f"c_{x}") for x in names))
+    c = own.agg(*merged, F.max(F.when(F.col("n") > 0, "*")).alias("c_key"))
+    c = quartiles(c.where("c_key is not null"), ["c_key"]).select("c_key", *(F.col(x).alias(f"c_{x}") for x in names))
     groups = rows.select("lang", "source").distinct().withColumnsRenamed({"lang": "g_lang", "source": "g_source"})
-    wide = groups.join(a, F.col("g_lang").eqNullSafe(F.col("lang")) & F.col("g_source").eqNullSafe(F.col("source")), "left").join(b, F.col("g_lang").eqNullSafe(F.col("b_lang")), "left").withColumn("one", F.lit(1)).join(c, F.col("one") == F.col("c_one"), "left")
+    wide = groups.join(a, F.col("g_lang").eqNullSafe(F.col("lang")) & F.col("g_source").eqNullSafe(F.col("source")), "left").join(b, F.col("g_lang").eqNullSafe(F.col("b_lang")), "left")
+    thin = F.when((F.coalesce("n", F.lit(0)) < least_rows) & (F.coalesce("b_n", F.lit(0)) < least_rows), "*")
+    wide = wide.withColumn("g_thin", thin).join(c, F.col("g_thin") == F.col("c_key"), "left")
     value = lambda x: F.when(F.col("n") >= least_rows, F.col(x)).when(F.col("b_n") >= least_rows, F.col(f"b_{x}")).otherwise(F.col(f"c_{x}"))
     high = lambda m, least: (value(f"{m}_75") + reach * F.greatest(value(f"{m}_75") - value(f"{m}_25"), F.lit(least)))
     low = lambda m, least: (value(f"{m}_25") - reach * F.greatest(value(f"{m}_75") - value(f"{m}_25"), F.lit(least)))
