@@ -217,7 +217,7 @@ def score(docs: DataFrame, files: list[tuple]) -> DataFrame:
         model = shards_of(known)
         for batch in batches:
             size = np.cumsum(pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False))
-            cuts = np.flatnonzero(np.diff(size // (8 << 20))) + 1
+            cuts = np.flatnonzero(np.diff(size // (2 << 20))) + 1
             for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
                 if b <= a:
                     continue
