@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import posixpath
+import shutil
 import tempfile
 import uuid
 
@@ -35,7 +37,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", f"docloom-{os.getpid()}")
+        own = os.path.join(tempfile.gettempdir(), "checkpoints", f"docloom-{os.getpid()}")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        found = "file://" + own
         spark.sparkContext.setCheckpointDir(found)
     return found
 
