@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of this process, gone when it ends.
+_OWN: set[str] = set()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``; where unset, in local mode only, an own one."""
@@ -16,7 +21,11 @@ def shared_dir(spark: SparkSession) -> str:
         return found
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", f"docloom-{os.getpid()}")
+    own = os.path.join(tempfile.gettempdir(), "checkpoints", f"docloom-{os.getpid()}")
+    if own not in _OWN:
+        _OWN.add(own)
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+    return "file://" + own
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
