@@ -188,8 +188,12 @@ def term_counts(sample: DataFrame, stems: bool) -> DataFrame:
     group = F.coalesce(F.array_min(F.transform(F.filter("w", lambda w: F.char_length(w) >= 8), lambda w: F.xxhash64(w))), F.xxhash64("doc_id"))
     cut = lambda w: F.transform(F.sequence(F.lit(4), F.greatest(F.lit(4), F.least(F.lit(8), F.char_length(w) - 1))), lambda k: F.concat(F.substring(w, F.lit(1), k), F.lit("*")))
     terms = F.array_distinct(F.flatten(F.transform(F.filter("w", lambda w: F.char_length(w) > 4), cut))) if stems else F.col("w")
-    rows = sample.select("toxic", group.alias("grp"), F.explode(terms).alias("term"))
-    return rows.groupBy("term").agg(F.count_distinct(F.when(F.col("toxic") == 1, F.col("grp"))).alias("p"), F.sum(1 - F.col("toxic")).alias("q"))
+    # the group before the explosion, else it is worked out for every term
+    sample = sample.select("toxic", F.when(F.col("toxic") == 1, group).alias("grp"), terms.alias("terms"))
+    rows = sample.select("toxic", "grp", F.explode("terms").alias("term"))
+    # clean texts fall together map-side; of toxic ones each group leaves one row
+    once = rows.groupBy("term", "toxic", "grp").agg(F.count(F.lit(1)).alias("n"))
+    return once.groupBy("term").agg(F.sum("toxic").alias("p"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("q"))
 
 
 class Model:
