@@ -276,7 +276,9 @@ def classes(docs: DataFrame, *, threshold: float = 0.8, tolerance: float = 1e-6,
     the rest are verified on the full sets.
 
     Null and empty texts are linked to nothing and are classes of their own. Null
-    doc_ids take part; a class of them alone has a null class_id. Repeated rows
+    doc_ids take part; a class of them alone has a null class_id. Unlinked texts
+    under one doc_id share their class_id; class_key tells such classes apart:
+    the least fingerprint of a class, id and text of an empty text. Repeated rows
     are copies. An empty table gives an empty result. Other columns are not read.
     """
     rules = least_matches(threshold, tolerance)
@@ -332,14 +334,15 @@ def classes(docs: DataFrame, *, threshold: float = 0.8, tolerance: float = 1e-6,
     counts = links.select(F.col("a").alias("fp"), F.col("copies_b").alias("k")).unionByName(links.select(F.col("b").alias("fp"), F.col("copies_a").alias("k"))).unionByName(inside.select("fp", F.col("links").alias("k"))).groupBy("fp").agg(F.sum("k").alias("links"))
     known = reps.select("fp", "copies", "least").join(joined, "fp", "left").join(counts, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     heads = known.groupBy("root").agg(F.min("least").alias("class_id"))
-    texts_of = stored(known.join(heads, "root").select("fp", "class_id", F.col("least").alias("copy_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links")), "near-classes")
-    linked = every.where("n > 0").select("doc_id", "text_key", "fp").join(texts_of, "fp").select("doc_id", "class_id", "n_links", "copy_id", "text_key")
-    return linked.unionByName(every.where("n = 0").select("doc_id", "text_key", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("copy_id")))
+    texts_of = stored(known.join(heads, "root").select("fp", F.hex("root").alias("class_key"), "class_id", F.col("least").alias("copy_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links")), "near-classes")
+    linked = every.where("n > 0").select("doc_id", "text_key", "fp").join(texts_of, "fp").select("doc_id", "class_id", "n_links", "copy_id", "text_key", "class_key")
+    alone = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("text_key").cast("string"))
+    return linked.unionByName(every.where("n = 0").select("doc_id", "text_key", alone.alias("class_key"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("copy_id")))
 
 
 def distinct_texts(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row of each class: of the least doc_id, and where several rows share that id, one of them."""
-    heads = classes(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("text_key").alias("k_key")).withColumnRenamed("class_id", "k_id")
+    """``docs`` with one row of each class: of the least doc_id, and where several rows of the class share that id, one of them."""
+    heads = classes(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_key", "class_id").agg(F.min("text_key").alias("k_key")).select(F.col("class_id").alias("k_id"), "k_key")
     columns = docs.columns
     mine = docs.withColumn("k_text", F.xxhash64("text")).join(heads, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("k_text") == F.col("k_key")))
     one = Window.partitionBy("k_id", "k_key").orderBy("k_id")

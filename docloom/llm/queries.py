@@ -49,7 +49,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.classes(table(spark, sf_dir, "documents")).drop("text_key")
+    return near_dup.classes(table(spark, sf_dir, "documents")).drop("text_key", "class_key")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

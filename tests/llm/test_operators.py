@@ -351,6 +351,15 @@ def test_one_row_of_each_class_stays(spark):
     assert near_dup.classes(empty(spark)).count() == 0
 
 
+def test_unlinked_texts_of_null_or_one_id_all_stay(spark):
+    texts = [prose(40, 900 + k) for k in range(24)]
+    ids = [None] * 12 + [7] * 12
+    rows = [(i, t, "en", "src0", len(t)) for i, t in zip(ids, texts, strict=True)]
+    rows += [rows[0], rows[12], (None, texts[12], "en", "src0", 1), (7, "", "en", "src0", 0), (8, "", "en", "src0", 0), (8, "", "en", "src0", 0), (None, None, "en", "src0", None)]
+    got = sorted((str(r.doc_id), r.text or "") for r in near_dup.distinct_texts(spark.createDataFrame(rows, DOC)).collect())
+    assert got == sorted([(str(i), t) for i, t in zip(ids, texts, strict=True)] + [("7", ""), ("8", ""), ("None", "")])
+
+
 def test_posterior_rule():
     rules = near_dup.least_matches(0.8, 1e-6)
     assert all(0 < m < n for n, m in rules) and rules == sorted(rules)
