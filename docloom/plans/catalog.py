@@ -103,16 +103,31 @@ query("lookup_equality", "nation", [{"$lookup": {"from": "supplier", "localField
 query("lookup_unwind_join", "customer", [{"$match": {"c_acctbal": {"$gt": 5000}}}, {"$lookup": {"from": "orders", "localField": "c_custkey", "foreignField": "o_custkey", "as": "o"}}, {"$unwind": {"path": "$o", "preserveNullAndEmptyArrays": True}}, {"$project": {"c_custkey": 1, "o_orderkey": "$o.o_orderkey"}}],
       "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey WHERE c_acctbal > 5000")
 
-query("lookup_pipeline", "customer", [{"$match": {"c_custkey": {"$lte": 200}}}, {"$lookup": {"from": "orders", "let": {"c": "$c_custkey"}, "pipeline": [{"$match": {"$expr": {"$eq": ["$o_custkey", "$$c"]}}}, {"$sort": {"o_totalprice": -1}}, {"$limit": 2}, {"$project": {"o_totalprice": 1}}], "as": "top"}}, {"$project": {"c_custkey": 1, "n": {"$size": "$top"}, "best": {"$let": {"vars": {"t": {"$first": "$top"}}, "in": "$$t.o_totalprice"}}}}],
+#: The two costliest chains, from every row that comes in.
+TOP_ORDERS = [{"$lookup": {"from": "orders", "let": {"c": "$c_custkey"}, "pipeline": [{"$match": {"$expr": {"$eq": ["$o_custkey", "$$c"]}}}, {"$sort": {"o_totalprice": -1}}, {"$limit": 2}, {"$project": {"o_totalprice": 1}}], "as": "top"}}, {"$project": {"c_custkey": 1, "n": {"$size": "$top"}, "best": {"$let": {"vars": {"t": {"$first": "$top"}}, "in": "$$t.o_totalprice"}}}}]
+WALK = [{"$project": {"p_partkey": 1, "half": {"$toLong": {"$floor": {"$divide": ["$p_partkey", 2]}}}}}, {"$lookup": {"from": "nation", "localField": "half", "foreignField": "n_nationkey", "as": "x"}}, {"$graphLookup": {"from": "nation", "startWith": "$half", "connectFromField": "n_regionkey", "connectToField": "n_nationkey", "as": "walk", "depthField": "d"}}, {"$project": {"p_partkey": 1, "n": {"$size": "$walk"}, "deepest": {"$reduce": {"input": "$walk", "initialValue": -1, "in": {"$cond": [{"$gt": ["$$this.d", "$$value"]}, "$$this.d", "$$value"]}}}}}]
+
+query("lookup_pipeline", "customer", [{"$match": {"c_custkey": {"$lte": 200}}}, *TOP_ORDERS],
       "SELECT c_custkey, least(count(o_orderkey), 2) AS n, max(o_totalprice) AS best FROM customer LEFT JOIN orders ON c_custkey = o_custkey WHERE c_custkey <= 200 GROUP BY 1")
 
-query("graph_lookup", "part", [{"$match": {"p_partkey": {"$lte": 64}}}, {"$project": {"p_partkey": 1, "half": {"$toLong": {"$floor": {"$divide": ["$p_partkey", 2]}}}}}, {"$lookup": {"from": "nation", "localField": "half", "foreignField": "n_nationkey", "as": "x"}}, {"$graphLookup": {"from": "nation", "startWith": "$half", "connectFromField": "n_regionkey", "connectToField": "n_nationkey", "as": "walk", "depthField": "d"}}, {"$project": {"p_partkey": 1, "n": {"$size": "$walk"}, "deepest": {"$reduce": {"input": "$walk", "initialValue": -1, "in": {"$cond": [{"$gt": ["$$this.d", "$$value"]}, "$$this.d", "$$value"]}}}}}],
+query("graph_lookup", "part", [{"$match": {"p_partkey": {"$lte": 64}}}, *WALK],
       """WITH RECURSIVE s AS (SELECT p_partkey, p_partkey // 2 AS v FROM part WHERE p_partkey <= 64),
 w(p_partkey, k, nx, d, seen) AS (
   SELECT p_partkey, n_nationkey, n_regionkey, 0, [n_nationkey] FROM s JOIN nation ON n_nationkey = v
   UNION ALL SELECT p_partkey, n.n_nationkey, n.n_regionkey, d + 1, list_append(seen, n.n_nationkey) FROM w JOIN nation n ON n.n_nationkey = w.nx AND NOT list_contains(seen, n.n_nationkey))
 SELECT s.p_partkey, count(k) AS n, coalesce(max(d), -1)::BIGINT AS deepest FROM s LEFT JOIN w USING (p_partkey) GROUP BY 1""")
 
+# The same from every customer and every part.
+query("lookup_pipeline_all", "customer", TOP_ORDERS,
+      "SELECT c_custkey, least(count(o_orderkey), 2) AS n, max(o_totalprice) AS best FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1")
+
+query("graph_lookup_all", "part", WALK,
+      """WITH RECURSIVE s AS (SELECT p_partkey, p_partkey // 2 AS v FROM part),
+w(p_partkey, k, nx, d, seen) AS (
+  SELECT p_partkey, n_nationkey, n_regionkey, 0, [n_nationkey] FROM s JOIN nation ON n_nationkey = v
+  UNION ALL SELECT p_partkey, n.n_nationkey, n.n_regionkey, d + 1, list_append(seen, n.n_nationkey) FROM w JOIN nation n ON n.n_nationkey = w.nx AND NOT list_contains(seen, n.n_nationkey))
+SELECT s.p_partkey, count(k) AS n, coalesce(max(d), -1)::BIGINT AS deepest FROM s LEFT JOIN w USING (p_partkey) GROUP BY 1""")
+
 query("union_with", "supplier", [{"$project": {"name": "$s_name", "bal": "$s_acctbal"}}, {"$unionWith": {"coll": "customer", "pipeline": [{"$match": {"c_acctbal": {"$lt": 0}}}, {"$project": {"name": "$c_name", "bal": "$c_acctbal"}}]}}],
       "SELECT s_name AS name, s_acctbal AS bal FROM supplier UNION ALL SELECT c_name, c_acctbal FROM customer WHERE c_acctbal < 0")
 

@@ -60,3 +60,29 @@ def test_queries_match_their_sql(spark):
         order = sorted(names)
         assert sorted(df.columns) == order, name
         assert plain([tuple(r) for r in df.collect()], df.columns, order) == plain(found.fetchall(), names, order), name
+
+
+def test_lookup_and_walk_start_from_every_row(spark, tmp_path):
+    customers, parts = 450, 130
+    orders = [(k, 1 + (k * 7) % 400, float((k * 37) % 101)) for k in range(900)]
+    nations = {k: (k * 3 + 1) % 60 for k in range(60)}
+    put = lambda name, rows, ddl: spark.createDataFrame(rows, ddl).write.parquet(str(tmp_path / f"{name}.parquet"))
+    put("customer", [(k,) for k in range(1, customers + 1)], "c_custkey long")
+    put("orders", orders, "o_orderkey long, o_custkey long, o_totalprice double")
+    put("part", [(k,) for k in range(1, parts + 1)], "p_partkey long")
+    put("nation", [*nations.items()], "n_nationkey int, n_regionkey int")
+    prices = {}
+    for _, c, p in orders:
+        prices.setdefault(c, []).append(p)
+    got = {r.c_custkey: (r.n, r.best) for r in catalog.QUERIES["lookup_pipeline_all"](spark, str(tmp_path)).collect()}
+    assert got == {c: (min(2, len(prices.get(c, []))), max(prices.get(c, []), default=None)) for c in range(1, customers + 1)}
+
+    def walk(at):
+        seen = []
+        while at in nations and at not in seen:
+            seen.append(at)
+            at = nations[at]
+        return len(seen), len(seen) - 1
+
+    got = {r.p_partkey: (r.n, r.deepest) for r in catalog.QUERIES["graph_lookup_all"](spark, str(tmp_path)).collect()}
+    assert got == {p: walk(p // 2) for p in range(1, parts + 1)}
