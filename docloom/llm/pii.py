@@ -17,7 +17,9 @@ PATTERNS = {
     "card": "(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){13,}+",
     "phone": "\\+[0-9][ ().0-9-]+[0-9]",
 }
-WORD = "[\\p{L}\\p{N}]+"
+#: Stands for a letter or digit of a base span; no letter itself.
+MASK = "\ue000"
+MASKED_WORD = f"[\\p{{L}}\\p{{N}}{MASK}]+"
 
 
 def let(value: Column, body) -> Column:
@@ -70,19 +72,37 @@ def entity(span: Column) -> Column:
     return F.concat(span["kind"].cast("string"), F.lit(":"), F.when(span["kind"] >= 2, F.regexp_replace(span["value"], "[^0-9]", "")).otherwise(F.lower(span["value"])))
 
 
-def around(text: Column, spans: Column, reach: int, chars: int) -> Column:
-    """array<struct<entity, term, start, end>>: up to ``reach`` words on either side of each span that overlap none."""
+def masked(text: Column, spans: Column) -> Column:
+    """The text with letters and digits of its spans (by start) overwritten by MASK, at the same length, so that words which overlap a span can be told."""
+    bare = F.replace(text, F.lit(MASK), F.lit(" "))
 
-    def of(span: Column) -> Column:
-        low = F.greatest(span["start"] - chars, F.lit(0))
-        left = let(F.substring(text, low + 1, span["start"] - low), lambda t: F.filter(places(t, WORD), lambda x: (low == 0) | (x["start"] > 0)))
-        left = F.slice(F.reverse(F.transform(left, lambda x: F.struct(x["m"].alias("m"), (x["start"] + low).alias("start")))), 1, reach)
-        right = let(F.substring(text, span["end"] + 1, F.lit(chars)), lambda t: F.filter(places(t, WORD), lambda x: (F.char_length(t) < chars) | (x["start"] + F.char_length(x["m"]) < chars)))
-        right = F.slice(F.transform(right, lambda x: F.struct(x["m"].alias("m"), (x["start"] + span["end"]).alias("start"))), 1, reach)
-        return F.transform(F.concat(left, right), lambda x: F.struct(entity(span).alias("entity"), F.lower(x["m"]).alias("term"), x["start"].cast("int").alias("start"), (x["start"] + F.char_length(x["m"])).cast("int").alias("end")))
+    def step(a: Column, s: Column) -> Column:
+        start = F.greatest(s["start"], a["end"])
+        done = F.concat(a["t"], F.substring(bare, a["end"] + 1, start - a["end"]), F.regexp_replace(F.substring(bare, start + 1, s["end"] - start), "[\\p{L}\\p{N}]", MASK))
+        return F.when(s["end"] > a["end"], F.struct(done.alias("t"), s["end"].alias("end"))).otherwise(a)
 
-    every = F.flatten(F.transform(spans, of))
-    return F.filter(every, lambda w: ~F.exists(spans, lambda s: (w["start"] < s["end"]) & (s["start"] < w["end"])))
+    return F.aggregate(spans, F.struct(F.lit("").alias("t"), F.lit(0).alias("end")), step, lambda a: F.concat(a["t"], F.substring(bare, a["end"] + 1, F.char_length(bare))))
+
+
+def terms_of(mask: Column) -> Column:
+    """Distinct words, in lower case, of a masked text that overlap no span."""
+    words = F.array_distinct(F.regexp_extract_all(mask, F.lit(MASKED_WORD), F.lit(0)))
+    return F.array_distinct(F.transform(F.filter(words, lambda w: ~F.contains(w, F.lit(MASK))), F.lower))
+
+
+def found_at(mask: Column, told: Column) -> Column:
+    """array<struct<start, kind, end>>: all places in a masked text of the terms of a map from term to kind."""
+
+    def of(both: Column) -> Column:
+        hits = F.filter(F.transform(both["m"], lambda m, i: F.struct(m.alias("m"), i.alias("i"), F.element_at(told, F.lower(m)).alias("kind"))), lambda x: x["kind"].isNotNull())
+
+        def span(x: Column) -> Column:
+            start = F.char_length(F.array_join(F.slice(both["gaps"], F.lit(1), x["i"] + 1), "")) + F.char_length(F.array_join(F.slice(both["m"], F.lit(1), x["i"]), ""))
+            return F.struct(start.cast("int").alias("start"), x["kind"].alias("kind"), (start + F.char_length(x["m"])).cast("int").alias("end"))
+
+        return F.transform(hits, span)
+
+    return let(F.struct(F.regexp_extract_all(mask, F.lit(MASKED_WORD), F.lit(0)).alias("m"), F.split(mask, MASKED_WORD, -1).alias("gaps")), of)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -96,36 +116,46 @@ def row_key(doc_id: Column, text: Column) -> Column:
 
 
 def term_spans(base: DataFrame, docs: DataFrame, *, generalise: float, remove: float, support: int) -> DataFrame:
-    """(row_key, terms): spans of the terms that disclose a protected entity of their text.
+    """(row_key, terms): all places of the terms that disclose a protected entity of their text.
 
     The disclosure of entity e by term t is PMI(e; t) / IC(e): with counts of
     texts, log(n(e,t) N / (n(e) n(t))) / log(N / n(e)). At ``generalise`` a term
-    is generalised, at ``remove`` removed. A term must be met near its entity in
-    ``support`` different texts. n(t) counts whole texts of the whole corpus;
-    counts are summed map-side, and nothing is collected or broadcast by hand.
+    is generalised, at ``remove`` removed, at every place in the texts that hold
+    the entity. All counts are of whole texts, wherever in them entity and term
+    stand. A term must be met with its entity in ``support`` different texts, so
+    terms are spread out only for entities of that many. Counts are summed
+    map-side, and nothing is collected or broadcast by hand.
     """
-    near = base.where(F.size("near") > 0).select("row_key", "text_key", F.explode("near").alias("x")).select("row_key", "text_key", "x.entity", "x.term", "x.start", "x.end")
-    pairs = near.groupBy("entity", "term", "text_key").agg(F.count_distinct("row_key").alias("rows")).groupBy("entity", "term").agg(F.sum("rows").alias("n_et"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support)
-    entities = base.where(F.size("spans") > 0).select("row_key", F.explode(F.array_distinct(F.transform("spans", entity))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    words = F.array_distinct(F.split(F.lower(text_of("text")), "[^\\p{L}\\p{N}]+"))
-    df = docs.select(F.explode(words).alias("term")).where("term <> ''").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    dirty = base.where(F.size("spans") > 0)
+    texts = stored(dirty.groupBy("text_key").agg(F.count(F.lit(1)).alias("n"), F.first("entities").alias("entities"), F.first("mask").alias("mask")), "pii-texts")
+    held = texts.select("text_key", "n", F.explode("entities").alias("entity"))
+    entities = held.groupBy("entity").agg(F.sum("n").alias("n_e"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support).select("entity", "n_e")
+    shared = held.join(entities, "entity").groupBy("text_key").agg(F.collect_list("entity").alias("entities"))
+    words = texts.select("text_key", "n", "mask").join(shared, "text_key").select("text_key", "n", "entities", F.explode(terms_of(F.col("mask"))).alias("term"))
+    met = stored(words, "pii-met").select("text_key", "n", "term", F.explode("entities").alias("entity"))
+    pairs = met.groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support)
+    # lower case by word, as in terms_of
+    plain = F.array_distinct(F.transform(F.array_distinct(F.split(text_of("text"), "[^\\p{L}\\p{N}]+")), F.lower))
+    df = docs.select(F.explode(plain).alias("term")).where("term <> ''").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     total = docs.count()
     pmi = F.log(F.col("n_et") * F.lit(float(total)) / (F.col("n_e") * F.col("n_t")))
     ic = F.log(F.lit(float(max(total, 1))) / F.col("n_e"))
     told = pairs.join(entities, "entity").join(df, "term").withColumn("disclosure", F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0))).where(F.col("disclosure") >= generalise)
     told = told.select("entity", "term", F.when(F.col("disclosure") >= remove, F.lit(5)).otherwise(F.lit(4)).alias("kind"))
-    hits = near.join(told, ["entity", "term"]).groupBy("row_key", "start", "end").agg(F.max("kind").alias("kind"))
-    return hits.groupBy("row_key").agg(F.sort_array(F.collect_set(F.struct("start", "kind", "end"))).alias("terms"))
+    own = met.join(told, ["entity", "term"]).groupBy("text_key", "term").agg(F.max("kind").alias("kind"))
+    own = own.groupBy("text_key").agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("told"))
+    hits = texts.select("text_key", "mask").join(own, "text_key").select("text_key", found_at(F.col("mask"), F.col("told")).alias("terms"))
+    return dirty.select("row_key", "text_key").distinct().join(hits, "text_key").select("row_key", "terms")
 
 
-def scanned(docs: DataFrame, reach: int, chars: int) -> DataFrame:
-    """doc_id, keys, base spans and the words near them, without the texts."""
+def scanned(docs: DataFrame) -> DataFrame:
+    """doc_id, keys and base spans, and of texts with spans the entities and the masked text."""
     rows = keyed(docs).select("doc_id", "row_key", "t", base_spans(F.col("t")).alias("spans"))
-    near = F.when(F.size("spans") > 0, around(F.col("t"), F.col("spans"), reach, chars)).otherwise(F.array().cast("array<struct<entity:string,term:string,start:int,end:int>>"))
-    return rows.select("doc_id", "row_key", F.when(F.size("spans") > 0, F.md5("t")).alias("text_key"), "spans", near.alias("near"))
+    some = F.size("spans") > 0
+    return rows.select("doc_id", "row_key", F.when(some, F.md5("t")).alias("text_key"), "spans", F.when(some, F.array_distinct(F.transform("spans", entity))).alias("entities"), F.when(some, masked(F.col("t"), F.col("spans"))).alias("mask"))
 
 
-def find(docs: DataFrame, *, reach: int = 8, chars: int = 240, generalise: float = 0.8, remove: float = 0.95, support: int = 2) -> DataFrame:
+def find(docs: DataFrame, *, generalise: float = 0.8, remove: float = 0.95, support: int = 2) -> DataFrame:
     """Spans of personal data in each row of ``docs`` (doc_id, text).
 
     Columns doc_id, base (array of start, kind, end, value of the base patterns)
@@ -134,7 +164,7 @@ def find(docs: DataFrame, *, reach: int = 8, chars: int = 240, generalise: float
     part. Equal rows get equal spans. An empty table gives an empty result.
     Other columns are not read.
     """
-    base = stored(scanned(docs, reach, chars), "pii-rows")
+    base = stored(scanned(docs), "pii-rows")
     terms = term_spans(base, docs, generalise=generalise, remove=remove, support=support)
     return base.select("doc_id", "row_key", F.col("spans").alias("base")).join(terms, "row_key", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<start:int,kind:int,end:int>>")))
 
@@ -172,13 +202,13 @@ def replaced(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(let(clear, rebuilt))
 
 
-def sanitise(docs: DataFrame, *, reach: int = 8, chars: int = 240, generalise: float = 0.8, remove: float = 0.95, support: int = 2) -> DataFrame:
+def sanitise(docs: DataFrame, *, generalise: float = 0.8, remove: float = 0.95, support: int = 2) -> DataFrame:
     """``docs`` with personal data in ``text`` replaced and ``n_chars``, where there is one, brought up to date; all columns are kept, null texts stay null.
 
     Base spans become the name of their kind, disclosing terms are generalised
     ([NUMBER], [NAME], [TERM]) or removed.
     """
-    base = stored(scanned(docs, reach, chars), "pii-rows")
+    base = stored(scanned(docs), "pii-rows")
     terms = term_spans(base, docs, generalise=generalise, remove=remove, support=support)
     dirty = base.where(F.size("spans") > 0).groupBy("row_key").agg(F.first("spans").alias("base")).join(terms, "row_key", "left")
     bare = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))

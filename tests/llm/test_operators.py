@@ -108,6 +108,19 @@ def test_disclosing_terms_are_found_and_taken_out(spark):
     assert pii.sanitise(corpus(spark, texts)).count() == len(texts) + 5
 
 
+def test_terms_far_from_their_entity_are_taken_out_everywhere(spark):
+    far = [prose(90, 300 + k) for k in range(4)]
+    texts = [f"Zebrafish {far[0]} é😀 m@x.org, +4785380592391139 {far[1]} (zebrafish) end", f"{far[2]} m@x.org {far[3]} ZEBRAFISH a ZEBRAFISHm@x.org"] + [f"a end {far[k % 4]} {prose(90, 500 + k)}" for k in range(60)]
+    df = corpus(spark, texts, extra=False)
+    found = {r.doc_id: r for r in pii.digest(pii.find(df)).collect()}
+    for k in (0, 1):
+        spans = {tuple(map(int, s.split(":")[1:])) for s in found[k].spans.split(",") if s.startswith("remove:")}
+        want = {m.span() for m in re.finditer("zebrafish(?!m)", texts[k], re.I)}
+        assert spans == want and found[k].n_terms == len(want) == (2, 1)[k]
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert "zebrafish" not in (clean[0] + clean[1]).lower() and clean[9] == texts[9]
+
+
 # --- 4 quality classifier
 
 
