@@ -1,8 +1,9 @@
-"""Toxicity scores: a learned lexicon in a trie, met by Levenshtein automata, weighed by context windows."""
+"""Toxicity scores: a learned lexicon in a trie, met by Levenshtein automata, weighed by the quotations they stand in."""
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
@@ -11,9 +12,11 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import stored, text_of
 
-#: Marks that open or close a quotation, and characters of context on either side of a hit.
+#: Marks that open or close a quotation, and the marks that each of them can close.
 QUOTES = "\"“”„«»‘’"
-WINDOW = 160
+CLOSES = {'"': '"', "“": "„", "”": "“„”", "»": "«", "«": "»", "’": "‘"}
+#: What may stand before an opening mark but for white space.
+OPENERS = "([{-–—:/“„«‘"
 FEATURES = ("exact", "fuzzy", "quoted", "rate", "strongest")
 
 
@@ -109,17 +112,50 @@ class Lexicon:
         return None if best is None else (best, False)
 
 
+def quotations(text: str) -> list[tuple[int, int]]:
+    """Bounds of the outermost quotations of a whole text, in order.
+
+    Marks are paired by kind and direction. A straight mark or ``«`` opens where a
+    word follows a space, a bracket or another opening mark; else a mark closes
+    what it can, and opens if there is nothing. A single mark between two letters
+    or digits is an apostrophe, and ``’`` never opens. A mark that is never
+    closed, or closes nothing (5"), makes no quotation.
+    """
+    held: list[tuple[str, int]] = []
+    count = dict.fromkeys(QUOTES, 0)
+    found: list[tuple[int, int]] = []
+    for m in re.finditer(f"[{QUOTES}]", text):
+        q, at = m[0], m.start()
+        left, right = text[at - 1 : at] if at else " ", text[at + 1 : at + 2] or " "
+        if q in "‘’" and left.isalnum() and right.isalnum():
+            continue
+        opens = (left.isspace() or left in OPENERS) and not right.isspace()
+        if not (opens and q in '"«') and any(count[o] for o in CLOSES.get(q, "")):
+            while True:  # marks opened inside and never closed go with it
+                o, start = held.pop()
+                count[o] -= 1
+                if o in CLOSES[q]:
+                    break
+            while found and found[-1][0] > start:
+                found.pop()
+            found.append((start, at))
+        elif q in "“„«‘" or (opens and q in '"”»') or (q == '"' and (right.isalpha() or (left.isspace() and right.isspace()))):
+            held.append((q, at))
+            count[q] += 1
+    return found
+
+
 def features(text: str, hits: dict[str, tuple[float, bool]], n_words: int) -> list[float]:
     """FEATURES of one text whose hit words (lower case) are given with weight and exactness."""
     exact = fuzzy = quoted = strongest = 0.0
     low = text.lower()
+    quotes = quotations(low)
     for m in re.finditer(r"[^\W_]+", low):
         got = hits.get(m[0])
         if got is None:
             continue
-        before, after = low[max(0, m.start() - WINDOW) : m.start()], low[m.end() : m.end() + WINDOW]
-        # in a quotation: a mark opens before the hit without closing again, and one closes after it
-        inside = sum(before.count(q) for q in QUOTES) % 2 == 1 and any(q in after for q in QUOTES)
+        k = bisect_left(quotes, (m.start(),)) - 1
+        inside = k >= 0 and m.start() < quotes[k][1]
         if inside:
             quoted += 1
         elif got[1]:

@@ -326,6 +326,29 @@ def test_toxic_texts_score_high_and_quotation_less(spark):
     assert toxicity.learn(df, labels.limit(0)).weights == {}
 
 
+@pytest.mark.parametrize(
+    ("text", "quoted"),
+    [
+        ("You’re an idiot and you don’t know", 0),
+        ("‘You’re an idiot’, he said, and it’s idiot", 1),
+        ("“" + "long words " * 40 + "idiot " + "long words " * 40 + "” idiot", 1),
+        ('"' + "long words " * 40 + 'idiot" idiot ' + "long words " * 40 + '"b"', 1),
+        ('a 5" screen idiot and a 7" one', 0),
+        ("„idiot“ idiot „b“ «idiot» idiot « idiot » »idiot« idiot »b« ”idiot” idiot", 5),
+        ("“a “idiot” idiot” idiot", 2),
+        ('"one\n\n"idiot two" idiot', 1),
+        ('("idiot") idiot ("b")', 1),
+        ("“never closed idiot", 0),
+        ('" idiot " idiot "Stop!"idiot say"idiot"', 2),
+        ("she said: “he said ‘idiot’ to me, idiot” idiot’s", 2),
+    ],
+)
+def test_quotation_is_told_over_the_whole_text(text, quoted):
+    every = len(re.findall("idiot", text))
+    x = toxicity.features(text, {"idiot": (1.0, True)}, 10)
+    assert round(float(np.expm1(x[2]))) == quoted and round(float(np.expm1(x[0]))) == every - quoted
+
+
 # --- 9 near duplicates
 
 
