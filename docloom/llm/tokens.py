@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -44,27 +45,30 @@ class PerfectHash:
 
     At each level a key goes to a bit by its hash; bits met by one key are kept,
     keys that collide go on to the next level. A key's number is the rank of its
-    bit. About two levels are looked into for a key, whatever n.
+    bit: the rank stored with its 64-bit word and the bits before it in that
+    word. About two levels are looked into for a key, whatever n, and a stored
+    table is used as it lies, without being unpacked.
     """
 
     LEVELS = 48
 
-    def __init__(self, levels: list[np.ndarray]):
+    def __init__(self, levels: list[tuple[int, np.ndarray, np.ndarray]]):
+        #: (bits, words, number of the first key of each word)
         self.levels = levels
-        counts = [int(x.sum()) for x in levels]
-        self.before = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-        self.ranks = [np.cumsum(x, dtype=np.int64) - 1 for x in levels]
 
     @classmethod
     def build(cls, hashes: np.ndarray) -> PerfectHash:
-        levels, rest = [], hashes
+        levels, rest, before = [], hashes, 0
         for level in range(cls.LEVELS):
             if not len(rest):
                 return cls(levels)
-            size = max(8, 2 * len(rest))
+            size = 64 * max(1, ceil_div(2 * len(rest), 64))
             at = (mixed(rest, level + 11) % np.uint64(size)).astype(np.int64)
             alone = np.bincount(at, minlength=size) == 1
-            levels.append(alone)
+            words = np.packbits(alone, bitorder="little").view("<u8")
+            held = np.bitwise_count(words).astype(np.int64)
+            levels.append((size, words, (before + np.cumsum(held) - held).astype("<u8")))
+            before += int(held.sum())
             rest = rest[~alone[at]]
         raise ValueError("two keys have the same hash")
 
@@ -72,24 +76,30 @@ class PerfectHash:
         """Number of each key; -1 for some that are no keys (others get a number: hold the fingerprint against it)."""
         out = np.full(len(hashes), -1, np.int64)
         left = np.arange(len(hashes))
-        for level, alone in enumerate(self.levels):
-            at = (mixed(hashes[left], level + 11) % np.uint64(len(alone))).astype(np.int64)
-            hit = alone[at]
-            out[left[hit]] = self.before[level] + self.ranks[level][at[hit]]
+        one = np.uint64(1)
+        for level, (size, words, ranks) in enumerate(self.levels):
+            if not len(left):
+                break
+            at = mixed(hashes[left], level + 11) % np.uint64(size)
+            place, bit = (at >> np.uint64(6)).astype(np.int64), one << (at & np.uint64(63))
+            own = words[place]
+            hit = (own & bit) != 0
+            out[left[hit]] = ranks[place[hit]].astype(np.int64) + np.bitwise_count(own[hit] & (bit[hit] - one))
             left = left[~hit]
         return out
 
     def to_bytes(self) -> bytes:
-        return struct.pack("<I", len(self.levels)) + b"".join(struct.pack("<Q", len(x)) + np.packbits(x).tobytes() for x in self.levels)
+        return struct.pack("<Q", len(self.levels)) + b"".join(struct.pack("<Q", size) + words.tobytes() + ranks.tobytes() for size, words, ranks in self.levels)
 
     @classmethod
     def from_bytes(cls, raw: bytes) -> tuple[PerfectHash, int]:
-        (n,), at, levels = struct.unpack_from("<I", raw), 4, []
+        """The table over ``raw`` itself, and where it ends."""
+        (n,), at, levels = struct.unpack_from("<Q", raw), 8, []
         for _ in range(n):
             (size,) = struct.unpack_from("<Q", raw, at)
-            width = ceil_div(size, 8)
-            levels.append(np.unpackbits(np.frombuffer(raw, np.uint8, width, at + 8), count=size).astype(bool))
-            at += 8 + width
+            words = size // 64
+            levels.append((size, np.frombuffer(raw, "<u8", words, at + 8), np.frombuffer(raw, "<u8", words, at + 8 + 8 * words)))
+            at += 8 + 16 * words
         return cls(levels), at
 
 
@@ -118,71 +128,152 @@ def look_up(raw: bytes, hashes: np.ndarray) -> np.ndarray:
 # --- encoding -----------------------------------------------------------------------------------
 
 
+#: The one kind of tokenizer that ids are put together word by word for; of any other kind each text is encoded as a whole.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: Letters that normalization leaves one letter each.
+LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def word_by_word(spec: dict) -> bool:
+    """Whether a text's ids are those of its words in order, whatever the text.
+
+    So it is where white space is dropped by the pre-tokenizer before it cuts,
+    normalization works within words (NFC joins nothing to ASCII white space and
+    lower case is by character), nothing is added or cut off, and no added token
+    holds white space or takes any in.
+    """
+    pre = spec.get("pre_tokenizer") or {}
+    split, *rest = pre.get("pretokenizers") or [{}]
+    plain = split.get("type") == "Split" and split.get("pattern") == {"Regex": SPLIT} and split.get("behavior") == "Removed" and split.get("invert") is True
+    plain = plain and [(x.get("type"), x.get("add_prefix_space"), x.get("use_regex")) for x in rest] == [("ByteLevel", False, False)]
+    added = spec.get("added_tokens") or []
+    quiet = all(t["content"] and not any(c.isspace() for c in t["content"]) and not (t["single_word"] or t["lstrip"] or t["rstrip"]) for t in added)
+    return plain and quiet and spec.get("normalizer") == NORMALIZER and not spec.get("truncation") and not spec.get("padding") and spec["model"].get("dropout") is None
+
+
 class Encoder:
     """Ids of whole texts from the tokenizers library, each distinct word encoded once.
 
-    For vocabularies whose pre-tokenizer never joins text across white space, so
-    that a text's ids are those of its words in order (held against whole-text
-    encoding in the tests). Words are cut at ASCII white space; full stops, commas
-    and exclamation marks after a letter are tokens of their own there. The memory of
-    words is emptied at ``most`` entries.
+    Where ``word_by_word`` says so, texts are cut at ASCII white space and their
+    distinct words go to the library. Of these, marks at the end of a word are
+    cut off where the tokenizer itself cuts between the word's last character and
+    a mark, and ASCII words go in lower case. A word that holds an added token in
+    any case goes as it is. The memory of words is emptied at ``most`` entries.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 500_000):
+        import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        spec = json.loads(self.tokenizer.to_str())
+        self.by_word = word_by_word(spec)
+        self.added = [t["content"] for t in spec.get("added_tokens") or []]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.word_ends = None
+        if self.by_word and suffix:
+            self.word_ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.word_ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {}
+        self.ends: dict[str, bool] = {c: c.isalnum() for c in map(chr, range(128))}
+
+    def learn(self, parts: list[str]) -> None:
+        """Ids of words not known yet. Words of plain letters are one piece each, whose last token says that a word ends there, so that many go as one text."""
+        plain, other = [], []
+        for x in parts:
+            (plain if self.word_ends is not None and LETTERS(x) else other).append(x)
+        for k in range(0, len(plain), 10_000):
+            some = plain[k : k + 10_000]
+            joined = [" ".join(some[i : i + 100]) for i in range(0, len(some), 100)]
+            ids = np.concatenate([np.array(x.ids, self.dtype) for x in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
+            self.keep(some, ids, np.flatnonzero(self.word_ends[ids]) + 1)
+        for k in range(0, len(other), 10_000):
+            some = other[k : k + 10_000]
+            got = [x.ids for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            self.keep(some, np.array([i for ids in got for i in ids], self.dtype), np.cumsum([len(x) for x in got]))
+
+    def keep(self, words: list[str], ids: np.ndarray, stops: np.ndarray) -> None:
+        raw, stops = ids.tobytes(), (stops * self.dtype.itemsize).tolist()
+        self.known.update(zip(words, (raw[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)), strict=True))
+
+    def cuts_after(self, char: str) -> bool:
+        """Whether the tokenizer cuts between this character and a mark behind it."""
+        known = self.ends.get(char)
+        if known is None:
+            normal, pre = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+            known = self.ends[char] = all(pre.pre_tokenize_str(normal.normalize_str(char + m))[-1][0] == m for m in MARKS)
+        return known
+
+    def stems(self, words) -> np.ndarray:
+        """Bytes of each word (an Arrow array) before the marks at its end; all of them where the word must stay whole."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        full = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        bare = pc.ascii_rtrim(words, characters=MARKS)
+        size = pc.binary_length(bare).to_numpy(zero_copy_only=False).astype(np.int64)
+        cut = np.flatnonzero((size < full) & (size > 0))
+        for token in self.added:
+            cut = cut[~pc.match_substring(words.take(pa.array(cut)), pattern=token, ignore_case=True).to_numpy(zero_copy_only=False)]
+        last = pc.utf8_slice_codeunits(bare.take(pa.array(cut)), -1).dictionary_encode()
+        good = np.array([self.cuts_after(c) for c in last.dictionary.to_pylist()], bool)
+        out = full.copy()
+        if len(cut):
+            fine = cut[good[last.indices.to_numpy(zero_copy_only=False)]]
+            out[fine] = size[fine]
+        return out
 
-    def learn(self, parts: set[str]) -> None:
-        new = [x for x in parts if x not in self.known]
-        for k in range(0, len(new), 10_000):
-            some = new[k : k + 10_000]
-            for word, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(got.ids, self.dtype).tobytes()
+    def words(self, words):
+        """Ids of distinct words, an Arrow array, as bytes."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
-    def words(self, words: list[str]) -> list[bytes]:
+        words = pa.concat_arrays([words.cast(pa.string())])  # from its own start
+        if not len(words):
+            return pa.array([], pa.binary())
+        bounds = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1)
+        halves = np.empty(2 * len(words) + 1, np.int32)
+        halves[::2] = bounds
+        halves[1::2] = bounds[:-1] + self.stems(words)
+        # stems and marks one after the other, over the same bytes
+        parts = pa.Array.from_buffers(pa.string(), 2 * len(words), [None, pa.py_buffer(halves), words.buffers()[2]]).dictionary_encode()
+        texts = parts.dictionary
+        plain = pc.string_is_ascii(texts)
+        for token in self.added:
+            plain = pc.and_(plain, pc.invert(pc.match_substring(texts, pattern=token, ignore_case=True)))
+        keys = pc.if_else(plain, pc.ascii_lower(texts), texts).to_pylist()
         if len(self.known) > self.most:
             self.known.clear()
-        cut = []
-        for w in words:
-            base = w.rstrip(".,!")
-            if len(base) == len(w) or not base or not base[-1].isalpha():
-                base, tail = w, ""
-            else:
-                tail = w[len(base) :]
-            cut.append((base.lower() if base.isascii() else base, tail))
-        self.learn({x for pair in cut for x in pair})
         known = self.known
-        return [known[base] + known[tail] if tail else known[base] for base, tail in cut]
+        got = [known.get(x) for x in keys]
+        self.learn(list({x for x, ids in zip(keys, got, strict=True) if ids is None}))
+        ids = pa.array([known[x] if ids is None else ids for x, ids in zip(keys, got, strict=True)], pa.binary()).take(parts.indices)
+        joined = np.ascontiguousarray(np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1)[::2])
+        return pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(joined), ids.buffers()[2]])
 
     def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """Ids of an Arrow array of texts, each ended by ``END_ID``, one after the other; ids of each text."""
+        import pyarrow as pa
         import pyarrow.compute as pc
 
+        width, end = self.dtype.itemsize, np.array([END_ID], self.dtype)
+        if not self.by_word:
+            got = [np.array([*x.ids, END_ID], self.dtype) for x in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.concatenate([end[:0], *got]), np.array([len(x) for x in got], np.int64)
         lists = pc.ascii_split_whitespace(texts)
         flat = lists.flatten().dictionary_encode()
-        pieces = self.words(flat.dictionary.to_pylist())
-        width = self.dtype.itemsize
-        sizes = np.fromiter((len(x) // width for x in pieces), np.int64, len(pieces))
-        table = np.frombuffer(b"".join(pieces), self.dtype)
-        first = np.concatenate([[0], np.cumsum(sizes)])[:-1] if len(sizes) else np.zeros(0, np.int64)
-        which = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        size = sizes[which] if len(which) else np.zeros(0, np.int64)
-        bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))])
-        ends = np.concatenate([[0], np.cumsum(size)])
-        n = ends[bounds[1:]] - ends[bounds[:-1]] + 1
-        out = np.full(int(n.sum()), END_ID, self.dtype)
-        # where each id of each word goes: its place among all words' ids, shifted by an end id a text before
-        doc = np.repeat(np.arange(len(n)), bounds[1:] - bounds[:-1])
-        start = ends[:-1] + doc
-        step = np.arange(int(ends[-1])) - np.repeat(ends[:-1], size)
-        out[np.repeat(start, size) + step] = table[np.repeat(first[which] if len(which) else which, size) + step]
-        return out, n
+        pieces = pa.concat_arrays([self.words(flat.dictionary), pa.array([end.tobytes()], pa.binary())])
+        stops = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
+        which = np.insert(flat.indices.to_numpy(zero_copy_only=False).astype(np.int32), stops, len(pieces) - 1)
+        out = pieces.take(pa.array(which))
+        bounds = np.frombuffer(out.buffers()[1], np.int32, len(out) + 1)[np.concatenate([[0], stops + np.arange(1, len(stops) + 1)])]
+        return np.frombuffer(out.buffers()[2], self.dtype, int(bounds[-1]) // width), np.diff(bounds).astype(np.int64) // width
 
 
 @lru_cache(maxsize=1)

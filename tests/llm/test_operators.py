@@ -228,6 +228,29 @@ def test_ids_come_back_as_the_library_gives_them(spark):
     assert tokens.read_back(none.select("doc_id", "seen"), tokens.build_index(none), none).count() == 0
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_any_text_has_the_ids_of_whole_text_encoding(name):
+    import random
+
+    import pyarrow as pa
+
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = str(P.path(name))
+    bits = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|StartOfText|>", "<|endof", "text|>", "İ", "ǰ", "J\u030c", "H\u0331", "e\u0301", "\u0301", "\u0338", "=", "<", ">", "'s", "'S", "'", "’", "Σ", "ΑΣ", "ß", "ẞ", "\u2126", "\u212a", "\u0958", "क", "़", "\u1100\u1161", "한", "שׁ", "½", "٣", "7", "42", "the", "THE", "Ding", "éau", "É", "ñ", ".", ",", "!!", "&&&", "|", "@", "\x00", "\x01", "\x7f", "\x85", "\xa0", "\u2028", "\u3000", "\ufeff", "😀", "\u200d", "_"]
+    gaps = ["", "", "", " ", "  ", "\t", "\n", "\r\n", "\x0b", "\x0c"]
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(bits) + rng.choice(gaps) for _ in range(rng.randrange(14))) for _ in range(4000)] + ["", " ", "a" * 3000, "İ. İ, İ!", "<|ENDOFTEXT|>."]
+    tool, own = Tokenizer.from_file(path), tokens.Encoder(path, most=3000)
+    assert own.by_word == (name == "word_bpe_49k.json")
+    for k in range(0, len(texts), 500):
+        ids, n = own.encode(pa.array(texts[k : k + 500]))
+        parts = np.split(ids, np.cumsum(n)[:-1])
+        for t, got in zip(texts[k : k + 500], parts, strict=True):
+            assert got.tolist() == [*tool.encode(t, add_special_tokens=False).ids, tokens.END_ID], repr(t)
+
+
 # --- 6 packing
 
 
