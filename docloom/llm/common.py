@@ -107,5 +107,17 @@ def n_words_of(text: Column) -> Column:
     return F.when(bare == "", F.lit(0)).otherwise(F.size(F.split(bare, SPACE_CLASS + "+"))).cast("long")
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with underscores added until no column of ``df`` is called so (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def ceil_div(a: int, b: int) -> int:
     return -(-a // b)

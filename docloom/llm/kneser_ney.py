@@ -1,20 +1,22 @@
-"""Quality classifier: interpolated modified Kneser-Ney character n-grams trained on trusted text."""
+"""Quality classifier: interpolated modified Kneser-Ney character n-grams, across words, trained on trusted text."""
 
 from __future__ import annotations
 
 from collections import OrderedDict
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import SPACE_CLASS, ceil_div, opened, stored, text_of
+from docloom.llm.common import ceil_div, free_names, opened, stored, text_of, words_of
 
-#: Longest n-gram. Words are sequences of characters between a start and an end mark.
+#: Longest n-gram. A text is START, a space, and its words, each followed by one space.
 ORDER = 5
-START, END = "\x02", "\x03"
+START = "\x02"
+#: Characters scored at a time.
+WINDOW = 1 << 20
 #: Split of trusted texts: rows whose crc32(doc_id) leaves 0 set the quantiles, the rest train.
 FOLDS = 4
 SHARD_ROWS = 4_000_000
@@ -23,17 +25,35 @@ SHARD_ROWS = 4_000_000
 # --- training: count joins in the DataFrame API --------------------------------------------------
 
 
+def pieces(words: Column) -> Column:
+    """array<struct<s, at>>: each word with the characters before it that its n-grams reach back to; ``at`` is the place (from 1) of its first character."""
+    tail = ORDER - 2
+
+    def piece(w: Column, i: Column) -> Column:
+        # a word before of one character lets the one before that be seen, for words are as short as one
+        far = F.when(i == 1, F.lit(START)).otherwise(F.substring(F.coalesce(F.get(words, i - 2), F.lit("")), -tail, tail))
+        near = F.concat(far, F.lit(" "), F.get(words, i - 1))
+        before = F.when(i == 0, F.lit(START)).otherwise(F.substring(near, -tail, tail))
+        return F.struct(F.concat(before, F.lit(" "), w, F.lit(" ")).alias("s"), (F.char_length(before) + 2).alias("at"))
+
+    return F.transform(words, piece)
+
+
 def gram_counts(texts: DataFrame) -> DataFrame:
-    """(lang, g, c): n-grams of the longest order, and shorter ones from a word's start, with their counts."""
-    words = texts.select("lang", F.explode(F.split(text_of("text"), SPACE_CLASS + "+")).alias("word")).where("word <> ''")
-    words = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("c"))
-    marked = F.concat(F.lit(START), "word", F.lit(END))
-    cut = F.transform(F.sequence(F.lit(2), F.char_length("word") + 2), lambda i: F.substring(marked, F.greatest(i - (ORDER - 1), F.lit(1)), F.least(i, F.lit(ORDER))))
-    return words.select("lang", "c", F.explode(cut).alias("g")).groupBy("lang", "g").agg(F.sum("c").alias("c"))
+    """(lang, g, c): n-grams of the longest order, and shorter ones from a text's start, with their counts, summed map-side."""
+    once = F.get(F.transform(F.array(words_of(text_of("text"))), pieces), F.lit(0))  # the words are cut once
+    rows = texts.select("lang", F.explode(once).alias("p")).select("lang", F.col("p.s").alias("s"), F.col("p.at").alias("at"))
+    cut = F.transform(F.sequence("at", F.char_length("s")), lambda i: F.substring("s", F.greatest(i - (ORDER - 1), F.lit(1)), F.least(i, F.lit(ORDER))))
+    return rows.select("lang", F.explode(cut).alias("g")).groupBy("lang", "g").agg(F.count(F.lit(1)).alias("c"))
 
 
-def discounts(level: DataFrame) -> DataFrame:
-    """Per language the three discounts from the counts of counts; where these are too thin, 0.5, 1 and 1.5."""
+def discounts(levels: dict[int, DataFrame]) -> DataFrame:
+    """Per level and language the three discounts from the counts of counts; where these are too thin, 0.5, 1 and 1.5.
+
+    Counts of counts are summed map-side, and the result, a row a level and
+    language, is stored: joins to it then know its size, and no n-gram is dealt
+    by its language.
+    """
     n = [F.sum(F.when(F.col("c") == k, 1).otherwise(0)).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)]
     y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
 
@@ -42,16 +62,17 @@ def discounts(level: DataFrame) -> DataFrame:
         d = k - (k + 1) * y * b / a
         return F.when((a > 0) & (b > 0) & (F.col("n1") > 0) & (d > 0) & (d < k), d).otherwise(F.lit(plain)).alias(f"d{k}")
 
-    with_n = level.groupBy("lang").agg(*n)
-    safe = with_n.select("lang", *(F.when(F.col(f"n{k}") > 0, F.col(f"n{k}")).alias(f"n{k}") for k in (1, 2, 3, 4)))  # null instead of 0: no division by it
-    return safe.select(F.col("lang").alias("d_lang"), one(1, 0.5), one(2, 1.0), one(3, 1.5))
+    every = [level.select(F.lit(k).alias("d_n"), "lang", "c") for k, level in levels.items()]
+    with_n = reduce(DataFrame.unionByName, every).groupBy("d_n", "lang").agg(*n)
+    safe = with_n.select("d_n", "lang", *(F.when(F.col(f"n{k}") > 0, F.col(f"n{k}")).alias(f"n{k}") for k in (1, 2, 3, 4)))  # null instead of 0: no division by it
+    return stored(safe.select("d_n", F.col("lang").alias("d_lang"), one(1, 0.5), one(2, 1.0), one(3, 1.5)), "kn-discounts")
 
 
 def train(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Log-probabilities (lang, g, lp) of all n-grams and back-off weights (lang, h, bo) of all contexts.
 
     Below the longest order an n-gram counts the distinct characters before it,
-    but from a word's start, where nothing comes before, its occurrences. A level
+    but from a text's start, where nothing comes before, its occurrences. A level
     joins its counts with its contexts' sums and with the probabilities of the
     level below.
     """
@@ -61,10 +82,11 @@ def train(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
         after = levels[n + 1].groupBy("lang", F.substring("g", 2, n).alias("g")).agg(F.count(F.lit(1)).alias("c"))
         levels[n] = stored(after.unionByName(raw.where((F.char_length("g") == n) & F.startswith("g", F.lit(START)))), "kn-level")
     size = levels[1].groupBy("lang").agg((F.count(F.lit(1)) + 1).alias("v"))
+    cuts = discounts(levels)
     below = stored(size.select("lang", F.lit("").alias("g"), (-F.log(F.col("v").cast("double"))).alias("lp")), "kn-p0")
     grams, contexts = below, None
     for n in range(1, ORDER + 1):
-        own = levels[n].join(discounts(levels[n]), F.col("lang") == F.col("d_lang")).drop("d_lang")
+        own = levels[n].join(cuts.where(F.col("d_n") == n), F.col("lang") == F.col("d_lang")).drop("d_lang", "d_n")
         own = own.withColumn("h", F.substring("g", 1, n - 1)).withColumn("low", F.substring("g", 2, n - 1))
         cut = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
         ctx = stored(own.groupBy("lang", "h").agg(F.sum("c").cast("double").alias("total"), F.sum(cut).alias("kept_back")).withColumn("gamma", F.col("kept_back") / F.col("total")), "kn-contexts")
@@ -88,12 +110,18 @@ def lang_seed(lang: str | None) -> np.uint64:
 
 
 def finish(rolled: np.ndarray, n: int, seeds, kind: int) -> np.ndarray:
-    """Signed 64-bit key of n-grams of one length; kind 0 for probabilities, 1 for contexts."""
+    """Signed 64-bit key of n-grams of one length; kind 0 for probabilities, 1 for contexts.
+
+    The first 12 bits are the language's and the next 4 the length's and kind's,
+    so that sorted keys of one language and length lie together: what a batch
+    looks up lies in few files.
+    """
     with np.errstate(over="ignore"):
         x = rolled ^ (seeds + np.uint64(2 * n + kind + 1) * np.uint64(0x9E3779B97F4A7C15))
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return (x ^ (x >> np.uint64(31))).view(np.int64)
+        x = (x ^ (x >> np.uint64(31))) >> np.uint64(16)
+        return (x | (seeds & np.uint64(0xFFF << 52)) | np.uint64((2 * n + kind) << 48)).view(np.int64)
 
 
 BASE = np.uint64(0x100000001B3)
@@ -173,41 +201,50 @@ def shards_of(files: tuple) -> Shards:
     return Shards(files)
 
 
-def word_scores(words: list[str], seeds: np.ndarray, model: Shards) -> tuple[np.ndarray, np.ndarray]:
-    """Log-probability and number of characters (end mark included) of each word; nan where its language has no model."""
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
-    points = np.frombuffer("".join(START + w + END for w in words).encode("utf-32-le"), np.uint32).astype(np.uint64)
-    ends = np.cumsum(sizes)
-    place = np.arange(len(points)) - np.repeat(ends - sizes, sizes)
-    seed = np.repeat(seeds, sizes)
-    rolled = [np.zeros(len(points), np.uint64)]
-    with np.errstate(over="ignore"):
-        for n in range(1, ORDER + 1):  # over the n characters that end here: the n-1 before the last one, then it
-            prev = np.zeros(len(points), np.uint64)
-            prev[1:] = rolled[n - 1][:-1]
-            rolled.append(prev * BASE + points + np.uint64(1))
-    score = np.zeros(len(points), np.float32)
-    open_ = np.flatnonzero(place > 0)
-    for n in range(ORDER, -1, -1):
-        use = open_[place[open_] >= n - 1] if n else open_
-        if len(use):
-            got = model.values(finish(rolled[n][use], n, seed[use], 0))
-            hit = ~np.isnan(got)
-            score[use[hit]] += got[hit]
-            done = np.zeros(len(points), bool)
-            done[use[hit]] = True
-            if n:
-                miss = use[~hit]  # back off: the weight of the n-1 characters before
-                back = model.values(finish(rolled[n - 1][miss - 1] if n > 1 else rolled[0][miss], n - 1, seed[miss], 1))
-                score[miss] += np.nan_to_num(back, nan=0.0)
-            open_ = open_[~done[open_]]
-    score[open_] = np.nan  # no model of this language
-    sums = np.add.reduceat(score, ends - sizes) if len(words) else np.zeros(0, np.float32)
-    return sums, sizes - 1
-
-
-def score(docs: DataFrame, files: list[tuple]) -> DataFrame:
-    """doc_id, lang, n_chars_scored and perplexity of each text, over all its words."""
+def text_scores(texts: list[str], seeds: np.ndarray, model: Shards) -> tuple[np.ndarray, np.ndarray]:
+    """Log-probability and number of characters of each text (words one space apart); nan where its language has no model.
+
+    Texts are laid end to end and scored ``WINDOW`` characters at a time, so a
+    long text takes no more memory than its characters.
+    """
+    points = np.frombuffer("".join(f"{START} {t} " for t in texts).encode("utf-32-le"), np.uint32)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 3
+    starts = np.cumsum(sizes) - sizes
+    sums, counts = np.zeros(len(texts)), np.where(sizes > 3, sizes - 2, 0)
+    for a in range(0, len(points), WINDOW):
+        low, stop = max(0, a - ORDER + 1), min(len(points), a + WINDOW)
+        own = np.arange(low, stop)
+        doc = np.searchsorted(starts, own, side="right") - 1
+        place, seed, mine = own - starts[doc], seeds[doc], points[low:stop].astype(np.uint64)
+        rolled = [np.zeros(len(mine), np.uint64)]
+        with np.errstate(over="ignore"):
+            for n in range(1, ORDER + 1):  # over the n characters that end here: the n-1 before the last one, then it
+                prev = np.zeros(len(mine), np.uint64)
+                prev[1:] = rolled[n - 1][:-1]
+                rolled.append(prev * BASE + mine + np.uint64(1))
+        score = np.zeros(len(mine), np.float32)
+        open_ = np.flatnonzero((place > 1) & (own >= a) & (sizes[doc] > 3))
+        scored = open_
+        for n in range(ORDER, -1, -1):
+            use = open_[place[open_] >= n - 1] if n else open_
+            if len(use):
+                got = model.values(finish(rolled[n][use], n, seed[use], 0))
+                hit = ~np.isnan(got)
+                score[use[hit]] += got[hit]
+                done = np.zeros(len(mine), bool)
+                done[use[hit]] = True
+                if n:
+                    miss = use[~hit]  # back off: the weight of the n-1 characters before
+                    back = model.values(finish(rolled[n - 1][miss - 1] if n > 1 else rolled[0][miss], n - 1, seed[miss], 1))
+                    score[miss] += np.nan_to_num(back, nan=0.0)
+                open_ = open_[~done[open_]]
+        score[open_] = np.nan  # no model of this language
+        sums += np.bincount(doc[scored], weights=score[scored], minlength=len(texts))
+    return sums, counts
+
+
+def score(docs: DataFrame, files: list[tuple], *, slice_bytes: int = 2 << 20) -> DataFrame:
+    """doc_id, lang, n_chars_scored and perplexity of each text, over all its characters, runs of white space as one space."""
     known = tuple(files)
 
     def run(batches):
@@ -217,29 +254,15 @@ def score(docs: DataFrame, files: list[tuple]) -> DataFrame:
         model = shards_of(known)
         for batch in batches:
             size = np.cumsum(pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False))
-            cuts = np.flatnonzero(np.diff(size // (2 << 20))) + 1
+            cuts = np.flatnonzero(np.diff(size // slice_bytes)) + 1
             for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
                 if b <= a:
                     continue
                 part = batch.slice(a, b - a)
-                lists = pc.ascii_split_whitespace(part.column(2))
-                counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-                flat = lists.flatten().dictionary_encode()
+                texts = pc.ascii_trim_whitespace(pc.replace_substring_regex(part.column(2), pattern="[ \\t\\n\\x0b\\x0c\\r]+", replacement=" "))
                 langs = pc.fill_null(part.column(1), "").dictionary_encode()
-                names = langs.dictionary.to_pylist()
-                doc = np.repeat(np.arange(part.num_rows), counts)
-                which = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64) * max(1, len(names))
-                if len(which):
-                    which = which + langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[doc]
-                codes, unique = pd.factorize(which)
-                words = flat.dictionary.to_pylist()
-                own = [words[k // max(1, len(names))] for k in unique]
-                seeds = np.array([lang_seed(x) for x in names], np.uint64)[unique % max(1, len(names))] if len(unique) else np.zeros(0, np.uint64)
-                lp, n = word_scores(own, seeds, model)
-                real = np.fromiter(map(bool, own), bool, len(own))
-                lp, n = np.where(real, lp, 0).astype(np.float64), np.where(real, n, 0)
-                total = np.bincount(doc, weights=lp[codes], minlength=part.num_rows) if len(codes) else np.zeros(part.num_rows)
-                chars = np.bincount(doc, weights=n[codes], minlength=part.num_rows).astype(np.int64) if len(codes) else np.zeros(part.num_rows, np.int64)
+                seeds = np.array([lang_seed(x) for x in langs.dictionary.to_pylist()], np.uint64)[langs.indices.to_numpy(zero_copy_only=False)]
+                total, chars = text_scores(texts.to_pylist(), seeds, model)
                 with np.errstate(divide="ignore", invalid="ignore"):
                     ppl = np.exp(-total / chars)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(chars), pa.array(ppl, mask=~np.isfinite(ppl))], names=["doc_id", "lang", "text_key", "n_chars_scored", "perplexity"])
@@ -251,20 +274,24 @@ def fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(FOLDS))
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, quantile: float = 0.98, slack: float = 1.35, broadcast_ids: int = 4_000_000) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, *, quantile: float = 0.99, broadcast_ids: int = 4_000_000) -> DataFrame:
     """doc_id, perplexity, its language's threshold and whether the text is kept.
 
     Trusted are the rows of ``labels`` (doc_id, quality) with quality 1. All of
-    them but every fourth (by crc32) train the model, one per language; those set
-    aside give each language's quantile of perplexity, and a text is kept up to
-    ``slack`` times that. Trusted ids are broadcast up to ``broadcast_ids`` (8
+    them but every fourth (by crc32) train the model, one per language; of those
+    set aside, each language's ``quantile`` of perplexity is its threshold, up to
+    which a text is kept. Trusted ids are broadcast up to ``broadcast_ids`` (8
     bytes each); beyond, the texts are joined by shuffle.
 
-    Null or empty texts have no perplexity and are rejected. Texts in a language
-    (null counts as one) without trusted texts have none either and are kept.
-    Repeated rows are scored each; a doc_id labelled twice is trusted if any
-    label says so. Null doc_ids are never trusted. Empty tables give empty
-    results. Other columns are not read.
+    Null or empty texts, and those of white space only, have no perplexity and
+    are rejected. Texts in a language (null counts as one) without trusted texts
+    have none either and are kept; so are those of a language whose trusted texts
+    all train. Very long texts are scored whole, ``WINDOW`` characters at a time.
+    A text on the threshold is kept. Repeated rows are scored each and train
+    each; a doc_id labelled twice is trusted if any label says so. Null doc_ids
+    are never trusted. Empty labels keep every text that is not empty, empty
+    documents give an empty result. Other columns, whatever their names, are not
+    read.
     """
     trusted = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("t_id")).distinct()
     small = trusted.count() <= broadcast_ids
@@ -274,16 +301,21 @@ def classify(docs: DataFrame, labels: DataFrame, *, quantile: float = 0.98, slac
     files = sharded(*train(texts))
     scored = stored(score(plain, files), "kn-scores")
     aside = scored.join(bounded(trusted.where(fold(F.col("t_id")) == 0)), F.col("doc_id") == F.col("t_id"), "left_semi")
-    limits = aside.where("perplexity is not null").groupBy(F.coalesce("lang", F.lit("")).alias("l_lang")).agg((F.percentile_approx("perplexity", F.lit(quantile), F.lit(100_000)) * F.lit(slack)).alias("threshold"))
-    # a row a language: some hundreds at most, whatever the corpus
-    out = scored.join(F.broadcast(limits), F.coalesce("lang", F.lit("")) == F.col("l_lang"), "left")
+    limits = aside.where("perplexity is not null").groupBy(F.coalesce("lang", F.lit("")).alias("l_lang")).agg(F.percentile_approx("perplexity", F.lit(quantile), F.lit(100_000)).alias("threshold"))
+    # a row a language; stored, so that its size is known to the join
+    out = scored.join(stored(limits, "kn-limits"), F.coalesce("lang", F.lit("")) == F.col("l_lang"), "left")
     kept = F.when(F.col("n_chars_scored") == 0, F.lit(False)).otherwise(F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))
     return out.select("doc_id", "lang", "text_key", "n_chars_scored", "perplexity", "threshold", kept.alias("kept"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that ``classify`` keeps, with all columns. Equal rows have one verdict."""
+    """The rows of ``docs`` that ``classify`` keeps, with all columns, whatever else they are called.
+
+    Equal rows have one verdict. Nulls, empty, long and repeated texts, ties and
+    empty tables as in ``classify``.
+    """
     judged = classify(docs, labels, **options)
-    bad = judged.where(~F.col("kept")).select(F.col("doc_id").alias("q_id"), F.col("lang").alias("q_lang"), F.col("text_key").alias("q_key")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("q_id")) & F.col("lang").eqNullSafe(F.col("q_lang")) & (F.xxhash64("text") == F.col("q_key"))
+    q_id, q_lang, q_key = free_names(docs, "q_id", "q_lang", "q_key")
+    bad = judged.where(~F.col("kept")).select(F.col("doc_id").alias(q_id), F.col("lang").alias(q_lang), F.col("text_key").alias(q_key)).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col(q_id)) & F.col("lang").eqNullSafe(F.col(q_lang)) & (F.xxhash64("text") == F.col(q_key))
     return docs.join(bad, same, "left_anti")

@@ -124,15 +124,18 @@ def test_terms_far_from_their_entity_are_taken_out_everywhere(spark):
 # --- 4 quality classifier
 
 
-def brute_kneser_ney(trained, word, order=kneser_ney.ORDER):
-    """Log-probability of a word by the textbook recursion."""
+def marked(text):
+    return kneser_ney.START + " " + " ".join(words(text)) + " "
+
+
+def brute_kneser_ney(trained, text, order=kneser_ney.ORDER):
+    """Log-probability of a text by the textbook recursion."""
     from collections import Counter, defaultdict
     from math import log
 
     raw = Counter()
-    for w in trained:
-        s = kneser_ney.START + w + kneser_ney.END
-        for i in range(1, len(s)):
+    for s in (marked(t) for t in trained if words(t)):
+        for i in range(2, len(s)):
             raw[s[max(0, i - order + 1) : i + 1]] += 1
     counts = {order: {g: c for g, c in raw.items() if len(g) == order}}
     for n in range(order - 1, 0, -1):
@@ -163,33 +166,70 @@ def brute_kneser_ney(trained, word, order=kneser_ney.ORDER):
         c = counts[n].get(g, 0)
         return (max(c - cut(c), 0) if c else 0) / sum(own) + sum(map(cut, own)) / sum(own) * p(g[1:])
 
-    s = kneser_ney.START + word + kneser_ney.END
-    return sum(log(p(s[max(0, i - order + 1) : i + 1])) for i in range(1, len(s)))
+    s = marked(text)
+    return sum(log(p(s[max(0, i - order + 1) : i + 1])) for i in range(2, len(s)))
+
 
+def brute_perplexity(trained, text):
+    return np.exp(-brute_kneser_ney(trained, text) / (len(marked(text)) - 2))
 
-def test_perplexity_is_that_of_the_recursion(spark):
-    trusted = [prose(60, k) for k in range(6)]
+
+def test_perplexity_is_that_of_the_recursion(spark, monkeypatch):
+    trusted = [prose(60, k) for k in range(6)] + ["I a b ñ c\n\ndé  I", "a", " x y ", "", "ab c"]
     texts = spark.createDataFrame([(k, t, "en") for k, t in enumerate(trusted)], "doc_id long, text string, lang string")
     files = kneser_ney.sharded(*kneser_ney.train(texts))
-    probe = [(1, "alpha3 gamm delta", "en"), (2, "Xyz! ñandú", "en"), (3, "alpha3", "zz"), (4, None, "en")]
+    probe = [(1, "alpha3 gamm delta", "en"), (2, " Xyz!\t\nñandú a I b ", "en"), (3, "alpha3", "zz"), (4, None, "en"), (5, "a", "en"), (6, " \n", "en"), (7, prose(900, 77) + " é😀 a b", "en")]
     got = {r.doc_id: r for r in kneser_ney.score(spark.createDataFrame(probe, "doc_id long, text string, lang string"), files).collect()}
-    learnt = [w for t in trusted for w in t.split()]
-    for k in (0, 1):
-        own = probe[k][1].split()
-        want = np.exp(-sum(brute_kneser_ney(learnt, w) for w in own) / sum(len(w) + 1 for w in own))
-        assert got[k + 1].perplexity == pytest.approx(want, rel=1e-4)
-    assert got[3].perplexity is None and got[4].perplexity is None and got[4].n_chars_scored == 0
+    for k in (1, 2, 5, 7):
+        assert got[k].perplexity == pytest.approx(brute_perplexity(trusted, probe[k - 1][1]), rel=1e-4)
+    assert [got[k].perplexity for k in (3, 4, 6)] == [None] * 3 and got[4].n_chars_scored == got[6].n_chars_scored == 0
+    # the same in windows that cut words and n-grams
+    monkeypatch.setattr(kneser_ney, "WINDOW", 37)
+    sums, n = kneser_ney.text_scores([" ".join(words(probe[k][1])) for k in (0, 1, 4, 6)], np.array([kneser_ney.lang_seed("en")] * 4), kneser_ney.Shards(tuple(files)))
+    assert np.exp(-sums / n) == pytest.approx([got[k].perplexity for k in (1, 2, 5, 7)], rel=1e-4)
+
+
+def test_order_of_words_counts(spark):
+    import random
+
+    sentence = "the quick fox saw a lazy dog near the old mill and ran on to it"
+    trusted = [" ".join([sentence] * 3)] * 8
+    files = kneser_ney.sharded(*kneser_ney.train(spark.createDataFrame([(t, "en") for t in trusted], "text string, lang string")))
+    mixed = sentence.split()
+    random.Random(1).shuffle(mixed)
+    got = [r.perplexity for r in kneser_ney.score(spark.createDataFrame([(1, sentence, "en"), (2, " ".join(mixed), "en")], "doc_id long, text string, lang string"), files).orderBy("doc_id").collect()]
+    assert got[1] > 1.3 * got[0]
+
+
+def test_verdicts_follow_the_quantile_of_the_language(spark):
+    texts = [prose(40, k) if k % 2 else " ".join(w[::-1] for w in prose(40, k).split()) for k in range(120)] + ["$$% ### @@! " * 30, prose(30, 999), "x"]
+    df = corpus(spark, texts)
+    rows = [(r.doc_id, r.lang, r.text) for r in df.collect()]
+    labels = [(k, int(k % 5 != 0)) for k in range(120)] + [(None, 1), (7, 0)]
+    trusted = {i for i, q in labels if q == 1 and i is not None}
+    judged = kneser_ney.classify(df, spark.createDataFrame(labels, "doc_id long, quality int"), quantile=0.9).collect()
+    want = []
+    for lang in {x for _, x, _ in rows}:
+        own = [(i, t or "") for i, x, t in rows if x == lang]
+        train = [t for i, t in own if i in trusted and zlib.crc32(str(i).encode()) % 4]
+        aside = sorted(brute_perplexity(train, t) for i, t in own if i in trusted and zlib.crc32(str(i).encode()) % 4 == 0)
+        limit = aside[int(np.ceil(0.9 * len(aside))) - 1] if aside else None
+        for i, t in own:
+            want.append((str(i), bool(words(t)) and (limit is None or brute_perplexity(train, t) <= limit * (1 + 1e-5))))
+    assert sorted((str(r.doc_id), r.kept) for r in judged) == sorted(want)
+    assert not all(k for i, k in want if i.isdigit() and int(i) < 120)
 
 
 def test_junk_is_rejected_and_clean_text_kept(spark):
-    texts = [prose(80, k) for k in range(60)] + ["$$% ### @@! ~~^ " * 30]
+    texts = [prose(80, k) for k in range(60)] + ["$$% ### @@! ~~^ " * 30, "$$% ### " * 40_000]
     df = corpus(spark, texts)
     labels = spark.createDataFrame([(k, 1) for k in range(60)] + [(None, 1)], "doc_id long, quality int")
-    kept = {r.doc_id: r.kept for r in kneser_ney.classify(df, labels).collect()}
-    assert all(kept[k] for k in range(60)) and not kept[60] and not kept[1000] and not kept[1001]
-    out = kneser_ney.accepted(df, labels)
-    assert out.columns == df.columns and out.where("doc_id = 0").count() == 3 and out.where("doc_id = 60").count() == 0
-    assert kneser_ney.classify(empty(spark), labels).count() == 0
+    kept = {r.doc_id: r.kept for r in kneser_ney.classify(df, labels, quantile=1.0).collect()}
+    assert sum(kept[k] for k in range(60)) >= 57 and not any(kept[k] for k in (60, 61, 1000, 1001))
+    out = kneser_ney.accepted(df.withColumn("q_id", near_dup.F.lit(1)).withColumn("Q_KEY", near_dup.F.lit(1)), labels, quantile=1.0)
+    assert out.columns == [*df.columns, "q_id", "Q_KEY"] and out.where("doc_id = 0").count() == 3 * kept[0] and out.where("doc_id = 60").count() == 0
+    assert kneser_ney.classify(empty(spark), labels).count() == 0 and kneser_ney.accepted(empty(spark), labels).count() == 0
+    assert sorted(r.doc_id is None or r.doc_id < 1000 for r in kneser_ney.accepted(df, labels.limit(0)).collect()) == [True] * (len(texts) + 3)
 
 
 # --- 5 token ids
