@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import stored, text_of
+from docloom.llm.common import free_names, stored, text_of
 
 #: Kinds in their order; the last two are terms that the method adds.
 KINDS = ("email", "ip", "card", "phone", "generalise", "remove")
@@ -67,9 +67,22 @@ def base_spans(text: Column) -> Column:
     return F.sort_array(F.concat(*found))
 
 
-def entity(span: Column) -> Column:
-    """What a span protects: its kind and its value in one form."""
-    return F.concat(span["kind"].cast("string"), F.lit(":"), F.when(span["kind"] >= 2, F.regexp_replace(span["value"], "[^0-9]", "")).otherwise(F.lower(span["value"])))
+def entities_of(spans: Column) -> Column:
+    """What the spans of a text protect, once each: that it holds data of a kind at all, every value in one form, and the group that a value belongs to - an address's domain, an ip's network of three numbers, a card's issuer (six digits), a phone number's area (all but seven digits)."""
+
+    def of(s: Column) -> Column:
+        digits = F.regexp_replace(s["value"], "[^0-9]", "")
+        plain = F.when(s["kind"] >= 2, digits).otherwise(F.lower(s["value"]))
+        group = (
+            F.when(s["kind"] == 0, F.substring_index(plain, "@", -1))
+            .when(s["kind"] == 1, F.substring_index(plain, ".", 3))
+            .when(s["kind"] == 2, F.substring(digits, F.lit(1), F.lit(6)))
+            .otherwise(F.substring(digits, F.lit(1), F.char_length(digits) - 7))
+        )
+        kind = s["kind"].cast("string")
+        return F.array(kind, F.concat(kind, F.lit(":"), plain), F.concat(kind, F.lit("/"), group))
+
+    return F.array_distinct(F.flatten(F.transform(spans, of)))
 
 
 def masked(text: Column, spans: Column) -> Column:
@@ -115,22 +128,24 @@ def row_key(doc_id: Column, text: Column) -> Column:
     return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("-")), F.md5(text))
 
 
-def term_spans(base: DataFrame, docs: DataFrame, *, generalise: float, remove: float, support: int) -> DataFrame:
-    """(row_key, terms): all places of the terms that disclose a protected entity of their text.
+#: Parts that the rows of one entity are dealt over.
+SALTS = 16
 
-    The disclosure of entity e by term t is PMI(e; t) / IC(e): with counts of
-    texts, log(n(e,t) N / (n(e) n(t))) / log(N / n(e)). At ``generalise`` a term
-    is generalised, at ``remove`` removed, at every place in the texts that hold
-    the entity. All counts are of whole texts, wherever in them entity and term
-    stand. A term must be met with its entity in ``support`` different texts, so
-    terms are spread out only for entities of that many. Counts are summed
-    map-side, and nothing is collected or broadcast by hand.
-    """
-    dirty = base.where(F.size("spans") > 0)
-    texts = stored(dirty.groupBy("text_key").agg(F.count(F.lit(1)).alias("n"), F.first("entities").alias("entities"), F.first("mask").alias("mask")), "pii-texts")
+
+def spread(small: DataFrame) -> DataFrame:
+    """A row for each part, to be joined by ``salt``."""
+    return small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def salt(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int").alias("salt")
+
+
+def disclosures(texts: DataFrame, docs: DataFrame, *, generalise: float, remove: float, support: int, evidence: float) -> tuple[DataFrame, DataFrame]:
+    """(text_key, term, entity) of the entities met in ``support`` texts, and (entity, term, disclosure, kind) of the terms that disclose them."""
     held = texts.select("text_key", "n", F.explode("entities").alias("entity"))
-    entities = held.groupBy("entity").agg(F.sum("n").alias("n_e"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support).select("entity", "n_e")
-    shared = held.join(entities, "entity").groupBy("text_key").agg(F.collect_list("entity").alias("entities"))
+    entities = stored(held.groupBy("entity").agg(F.sum("n").alias("n_e"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support).select("entity", "n_e"), "pii-entities")
+    shared = held.select("*", salt("text_key")).join(spread(entities), ["entity", "salt"]).groupBy("text_key").agg(F.collect_list("entity").alias("entities"))
     words = texts.select("text_key", "n", "mask").join(shared, "text_key").select("text_key", "n", "entities", F.explode(terms_of(F.col("mask"))).alias("term"))
     met = stored(words, "pii-met").select("text_key", "n", "term", F.explode("entities").alias("entity"))
     pairs = met.groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support)
@@ -140,9 +155,29 @@ def term_spans(base: DataFrame, docs: DataFrame, *, generalise: float, remove: f
     total = docs.count()
     pmi = F.log(F.col("n_et") * F.lit(float(total)) / (F.col("n_e") * F.col("n_t")))
     ic = F.log(F.lit(float(max(total, 1))) / F.col("n_e"))
-    told = pairs.join(entities, "entity").join(df, "term").withColumn("disclosure", F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0))).where(F.col("disclosure") >= generalise)
-    told = told.select("entity", "term", F.when(F.col("disclosure") >= remove, F.lit(5)).otherwise(F.lit(4)).alias("kind"))
-    own = met.join(told, ["entity", "term"]).groupBy("text_key", "term").agg(F.max("kind").alias("kind"))
+    known = pairs.select("*", salt("term")).join(spread(entities), ["entity", "salt"]).join(df, "term").withColumn("pmi", pmi)
+    known = known.where(F.col("n_et") * F.col("pmi") >= evidence).withColumn("disclosure", F.when(ic > 0, F.col("pmi") / ic).otherwise(F.lit(0.0)))
+    told = known.where(F.col("disclosure") >= generalise).select("entity", "term", "disclosure", F.when(F.col("disclosure") >= remove, F.lit(5)).otherwise(F.lit(4)).alias("kind"))
+    return met, stored(told, "pii-told")
+
+
+def term_spans(base: DataFrame, docs: DataFrame, **limits) -> DataFrame:
+    """(row_key, terms): all places of the terms that disclose a protected entity of their text.
+
+    Protected are the values of the base spans, their groups and their kinds, as
+    ``entities_of`` names them. The disclosure of entity e by term t is
+    PMI(e; t) / IC(e): with counts of rows, log(n(e,t) N / (n(e) n(t))) / log(N /
+    n(e)). At ``generalise`` a term is generalised, at ``remove`` removed, at
+    every place in the texts that hold the entity. All counts are of whole texts,
+    wherever in them entity and term stand. A term must be met with its entity in
+    ``support`` different texts, and n(e,t) PMI, what speaks against chance, must
+    reach ``evidence`` nats. Counts are summed map-side, the rows of one entity
+    are dealt over SALTS parts, and nothing is collected or broadcast by hand.
+    """
+    dirty = base.where(F.size("spans") > 0)
+    texts = stored(dirty.groupBy("text_key").agg(F.count(F.lit(1)).alias("n"), F.first("entities").alias("entities"), F.first("mask").alias("mask")), "pii-texts")
+    met, told = disclosures(texts, docs, **limits)
+    own = met.select("*", salt("text_key")).join(spread(told), ["entity", "term", "salt"]).groupBy("text_key", "term").agg(F.max("kind").alias("kind"))
     own = own.groupBy("text_key").agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("told"))
     hits = texts.select("text_key", "mask").join(own, "text_key").select("text_key", found_at(F.col("mask"), F.col("told")).alias("terms"))
     return dirty.select("row_key", "text_key").distinct().join(hits, "text_key").select("row_key", "terms")
@@ -152,20 +187,23 @@ def scanned(docs: DataFrame) -> DataFrame:
     """doc_id, keys and base spans, and of texts with spans the entities and the masked text."""
     rows = keyed(docs).select("doc_id", "row_key", "t", base_spans(F.col("t")).alias("spans"))
     some = F.size("spans") > 0
-    return rows.select("doc_id", "row_key", F.when(some, F.md5("t")).alias("text_key"), "spans", F.when(some, F.array_distinct(F.transform("spans", entity))).alias("entities"), F.when(some, masked(F.col("t"), F.col("spans"))).alias("mask"))
+    return rows.select("doc_id", "row_key", F.when(some, F.md5("t")).alias("text_key"), "spans", F.when(some, entities_of(F.col("spans"))).alias("entities"), F.when(some, masked(F.col("t"), F.col("spans"))).alias("mask"))
 
 
-def find(docs: DataFrame, *, generalise: float = 0.8, remove: float = 0.95, support: int = 2) -> DataFrame:
+def find(docs: DataFrame, *, generalise: float = 0.8, remove: float = 0.95, support: int = 2, evidence: float = 6.0) -> DataFrame:
     """Spans of personal data in each row of ``docs`` (doc_id, text).
 
     Columns doc_id, base (array of start, kind, end, value of the base patterns)
     and terms (array of start, kind, end that the method adds). Offsets count
-    code points, ends are exclusive. Null texts are empty. Null doc_ids take
-    part. Equal rows get equal spans. An empty table gives an empty result.
-    Other columns are not read.
+    code points, ends are exclusive. Null texts are empty and have no spans. Null
+    doc_ids take part. Texts are scanned whole, however long, in one pass.
+    Repeated rows get equal spans and count each in every count but ``support``,
+    which counts different texts. Spans that start together are ordered by kind.
+    An empty table gives an empty result. Other columns, whatever their names,
+    are not read.
     """
     base = stored(scanned(docs), "pii-rows")
-    terms = term_spans(base, docs, generalise=generalise, remove=remove, support=support)
+    terms = term_spans(base, docs, generalise=generalise, remove=remove, support=support, evidence=evidence)
     return base.select("doc_id", "row_key", F.col("spans").alias("base")).join(terms, "row_key", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<start:int,kind:int,end:int>>")))
 
 
@@ -202,19 +240,25 @@ def replaced(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(let(clear, rebuilt))
 
 
-def sanitise(docs: DataFrame, *, generalise: float = 0.8, remove: float = 0.95, support: int = 2) -> DataFrame:
+def sanitise(docs: DataFrame, *, generalise: float = 0.8, remove: float = 0.95, support: int = 2, evidence: float = 6.0) -> DataFrame:
     """``docs`` with personal data in ``text`` replaced and ``n_chars``, where there is one, brought up to date; all columns are kept, null texts stay null.
 
     Base spans become the name of their kind, disclosing terms are generalised
-    ([NUMBER], [NAME], [TERM]) or removed.
+    ([NUMBER], [NAME], [TERM]) or removed. Of overlapping spans the first counts.
+    Null doc_ids, empty, long and repeated texts, empty tables and columns of any
+    name as in ``find``; every row stays.
     """
     base = stored(scanned(docs), "pii-rows")
-    terms = term_spans(base, docs, generalise=generalise, remove=remove, support=support)
+    terms = term_spans(base, docs, generalise=generalise, remove=remove, support=support, evidence=evidence)
     dirty = base.where(F.size("spans") > 0).groupBy("row_key").agg(F.first("spans").alias("base")).join(terms, "row_key", "left")
     bare = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    spans = dirty.select(F.col("row_key").alias("p_key"), F.sort_array(F.concat(bare, F.coalesce("terms", F.array().cast("array<struct<start:int,kind:int,end:int>>")))).alias("p_spans"))
+    p_row, p_key, p_spans, p_text = free_names(docs, "p_row", "p_key", "p_spans", "p_text")
+    spans = dirty.select(F.col("row_key").alias(p_key), F.sort_array(F.concat(bare, F.coalesce("terms", F.array().cast("array<struct<start:int,kind:int,end:int>>")))).alias(p_spans))
     columns = docs.columns
-    joined = docs.withColumn("p_row", row_key(F.col("doc_id").cast("long"), text_of("text"))).join(spans, F.col("p_row") == F.col("p_key"), "left")
-    out = joined.withColumn("p_text", F.when(F.col("p_spans").isNull(), F.col("text")).otherwise(replaced(F.col("text"), F.col("p_spans"))))
-    new = {"text": F.col("p_text").alias("text"), "n_chars": F.when(F.col("p_spans").isNull(), F.col("n_chars")).otherwise(F.char_length("p_text").cast(docs.schema["n_chars"].dataType)).alias("n_chars") if "n_chars" in columns else None}
+    joined = docs.withColumn(p_row, row_key(F.col("doc_id").cast("long"), text_of("text"))).join(spans, F.col(p_row) == F.col(p_key), "left")
+    clean = F.col(p_spans).isNull()
+    out = joined.withColumn(p_text, F.when(clean, F.col("text")).otherwise(replaced(F.col("text"), F.col(p_spans))))
+    new = {"text": F.col(p_text).alias("text")}
+    if "n_chars" in columns:
+        new["n_chars"] = F.when(clean, F.col("n_chars")).otherwise(F.char_length(p_text).cast(docs.schema["n_chars"].dataType)).alias("n_chars")
     return out.select(*(new[c] if c in new else F.col(f"`{c}`") for c in columns))

@@ -105,7 +105,73 @@ def test_disclosing_terms_are_found_and_taken_out(spark):
     assert found[0] == f"remove:{at}:{at + 9},email:{texts[0].index('m@')}:{texts[0].index('m@') + 7}" and found[5] == ""
     clean = {r.doc_id: r for r in pii.sanitise(df).collect()}
     assert clean[0].text == "the  wrote to [EMAIL] today" and clean[0].n_chars == len(clean[0].text) and clean[7].text == texts[7]
-    assert pii.sanitise(corpus(spark, texts)).count() == len(texts) + 5
+    odd = corpus(spark, texts)
+    for name in ("p_key", "P_row", "p_spans", "p_text", "spans", "terms", "salt_", "entity"):
+        odd = odd.withColumn(name, near_dup.F.lit(1))
+    out = pii.sanitise(odd)
+    assert out.columns == odd.columns and out.count() == len(texts) + 5 and pii.sanitise(empty(spark)).count() == 0
+
+
+def brute_disclosures(texts, generalise=0.8, remove=0.95, support=2, evidence=6.0):
+    """{(text, term): kind} by counting over all rows."""
+    from collections import defaultdict
+    from math import log
+
+    def masked_words(t):
+        spans = [m.span() for k, p in PATTERNS.items() for m in re.finditer(p, t, re.ASCII) if passes(k, m[0])]
+        return {m[0].lower() for m in re.finditer(r"[^\W_]+", t) if not any(a < m.end() and m.start() < b for a, b in spans)}
+
+    def entities(t):
+        out = set()
+        for o, (k, p) in enumerate(PATTERNS.items()):
+            for m in re.finditer(p, t, re.ASCII):
+                if passes(k, m[0]):
+                    v = m[0].lower() if o < 2 else re.sub("[^0-9]", "", m[0])
+                    out |= {str(o), f"{o}:{v}", f"{o}/" + (v.split("@")[-1], v.rsplit(".", 1)[0], v[:6], v[:-7])[o]}
+        return out
+
+    n = len(texts)
+    holds, both, n_t = defaultdict(list), defaultdict(list), defaultdict(int)
+    for t in texts:
+        own = masked_words(t)
+        for w in {m[0].lower() for m in re.finditer(r"[^\W_]+", t)}:
+            n_t[w] += 1
+        for e in entities(t):
+            holds[e].append(t)
+            for w in own:
+                both[e, w].append(t)
+    out = {}
+    for (e, w), met in both.items():
+        n_e = len(holds[e])
+        pmi, ic = log(len(met) * n / (n_e * n_t[w])), log(n / n_e)
+        if len(set(met)) >= support and ic > 0 and len(met) * pmi >= evidence and pmi / ic >= generalise:
+            for t in set(met):
+                out[t, w] = max(out.get((t, w), ""), "remove" if pmi / ic >= remove else "generalise")
+    return out
+
+
+def test_disclosure_is_that_of_the_counts(spark):
+    import random
+
+    rng = random.Random(6)
+    texts = []
+    for k in range(400):
+        body = prose(25, k).split()
+        if k % 5 == 0:
+            g = k // 5 % 8
+            body[rng.randrange(25)] = [f"u{k}@firm{g}.org", f"10.0.{g}.{k % 200}", f"+1 (70{g}) 555-{3000 + k}"][g % 3]
+            body[rng.randrange(25)] += f" Team{g}"
+            body.append(f"rare{k % 10}")
+        elif k % 23 == 0:
+            body.append(f"team{k % 4}")
+        texts.append(" ".join(body))
+    texts += [texts[5], texts[5], texts[10], texts[11]]
+    want = {}
+    for (t, w), kind in brute_disclosures(texts, support=2).items():
+        for m in re.finditer(rf"(?<![^\W_]){w}(?![^\W_])", t, re.I):
+            want.setdefault(t, set()).add(f"{kind}:{m.start()}:{m.end()}")
+    got = {texts[r.doc_id]: {s for s in r.spans.split(",") if s.startswith(("remove", "general"))} for r in pii.digest(pii.find(corpus(spark, texts, extra=False))).collect()}
+    assert {t: s for t, s in got.items() if s} == want and len(want) > 20 and {s.split(":")[0] for x in want.values() for s in x} == {"remove", "generalise"}
 
 
 def test_terms_far_from_their_entity_are_taken_out_everywhere(spark):
