@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import n_words_of, stored, text_of
+from docloom.llm.common import free_names, n_words_of, stored, text_of
 
 LEVELS = ("domain", "lang", "source")
 #: Weights of the registered query; what is not named weighs 1.
@@ -73,8 +73,10 @@ def mix(docs: DataFrame, weights: dict | None = None, *, share: float = 1.0, max
 
     The budget is ``share`` times all tokens (words). Each leaf's stream is its
     documents epoch after epoch, each epoch in a seeded order of its own; a leaf
-    takes the shortest prefix of its stream that reaches its budget, in whole
-    documents. ``repeats`` is the number of times a row comes up in that prefix.
+    takes the prefix of its stream that is its budget. ``repeats`` is the number
+    of times a row comes up in that prefix, ``taken_tokens`` the tokens it gives:
+    the last document may give its first tokens only, so that a leaf's
+    taken_tokens sum up to its budget.
     Whole epochs are counted; in the last one, a row's place in the order is
     known from sums per hash bucket of the leaf, so a leaf that holds a third of
     all rows is spread over as many tasks as it has ``bucket_docs``.
@@ -82,8 +84,9 @@ def mix(docs: DataFrame, weights: dict | None = None, *, share: float = 1.0, max
     Null lang or source are leaves of their own. Null and empty texts have no
     tokens: they come along with the prefix and never end it. A leaf without
     tokens, or with weight 0, gives nothing. Rows of one doc_id are ordered by
-    text; equal rows are interchangeable. An empty table gives an empty result.
-    Other columns are not read.
+    text; equal rows are interchangeable. Texts count whole, however long; ties
+    in a draw go by tokens, then text. An empty table gives an empty result. Other
+    columns, whatever their names, are not read.
     """
     weights = WEIGHTS if weights is None else weights
     place = domain if domain is not None else default_domain(F.col("source"))
@@ -107,17 +110,20 @@ def mix(docs: DataFrame, weights: dict | None = None, *, share: float = 1.0, max
     within = Window.partitionBy(*keys).orderBy("draw", "n_tokens", "text_key").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("ahead", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
     placed = placed.join(sums, [F.col(k).eqNullSafe(F.col(f"s_{k}")) for k in keys])
-    last = (F.col("base") + F.col("ahead")) < F.col("rest")
-    return placed.select("doc_id", *LEVELS, "n_tokens", F.col("budget").alias("leaf_budget"), (F.col("epochs") + last.cast("long")).alias("repeats"), "text_key")
+    left = F.col("rest") - F.col("base") - F.col("ahead")
+    given = F.col("epochs") * F.col("n_tokens") + F.least(F.greatest(left, F.lit(0)), F.col("n_tokens"))
+    return placed.select("doc_id", *LEVELS, "n_tokens", F.col("budget").alias("leaf_budget"), (F.col("epochs") + (left > 0).cast("long")).alias("repeats"), given.alias("taken_tokens"), "text_key")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with each row as often as ``mix`` takes it; all columns are kept.
+    """``docs`` with each row as often as ``mix`` takes it, in whole documents; all columns are kept, whatever they are called.
 
-    Rows equal in doc_id, lang, source and text share their repeats alike, rounded up.
+    Rows equal in doc_id, lang, source and text share their repeats alike,
+    rounded up. Nulls, empty and long texts, ties and empty tables as in ``mix``.
     """
+    m_id, m_lang, m_source, m_key, m_times, m_turn = free_names(docs, "m_id", "m_lang", "m_source", "m_key", "m_times", "m_turn")
     taken = mix(docs, **options).where("repeats > 0").groupBy("doc_id", "lang", "source", "text_key").agg(F.sum("repeats").alias("r"), F.count(F.lit(1)).alias("c"))
-    taken = taken.select(F.col("doc_id").alias("m_id"), F.col("lang").alias("m_lang"), F.col("source").alias("m_source"), F.col("text_key").alias("m_key"), F.ceil(F.col("r") / F.col("c")).cast("int").alias("m_times"))
-    same = F.col("doc_id").eqNullSafe(F.col("m_id")) & F.col("lang").eqNullSafe(F.col("m_lang")) & F.col("source").eqNullSafe(F.col("m_source")) & (F.xxhash64("text") == F.col("m_key"))
+    taken = taken.select(F.col("doc_id").alias(m_id), F.col("lang").alias(m_lang), F.col("source").alias(m_source), F.col("text_key").alias(m_key), F.ceil(F.col("r") / F.col("c")).cast("int").alias(m_times))
+    same = F.col("doc_id").eqNullSafe(F.col(m_id)) & F.col("lang").eqNullSafe(F.col(m_lang)) & F.col("source").eqNullSafe(F.col(m_source)) & (F.xxhash64("text") == F.col(m_key))
     columns = docs.columns
-    return docs.join(taken, same).withColumn("m_turn", F.explode(F.sequence(F.lit(1), F.col("m_times")))).select(*(F.col(f"`{c}`") for c in columns))
+    return docs.join(taken, same).withColumn(m_turn, F.explode(F.sequence(F.lit(1), F.col(m_times)))).select(*(F.col(f"`{c}`") for c in columns))

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import forget, stored, text_of
+from docloom.llm.common import forget, free_names, stored, text_of
 
 #: Signature: BANDS x ROWS MinHash values, 16 bits of each. At a similarity of 0.8 two texts share no band in 6 of 10 million cases.
 BANDS, ROWS = 36, 5
@@ -235,6 +235,23 @@ def block_links(frame: pd.DataFrame, threshold: float, rules: list[tuple[int, in
     return pd.DataFrame({"fp": [n for n, t in zip(names, touched, strict=True) if t], "to": [names[k] for k, t in zip(label, touched, strict=True) if t], "links": links[touched].astype(np.int64)})
 
 
+def with_least(edges: DataFrame, n_edges: int, and_self: bool) -> DataFrame:
+    """(a, b, m) for each edge (a, b): m is the least b of all edges of a, or a itself if that counts and is less.
+
+    Nodes of many edges, the roots of large classes, would each gather in one
+    task. There are at most 2,000 nodes of more than ``n_edges`` / 1,000 edges
+    (``edges`` holds each of the ``n_edges`` twice at most), so theirs are
+    broadcast; the edges of all others are joined by shuffle.
+    """
+    most = max(256, n_edges // 1000)
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("held"))
+    least = least.select(F.col("a").alias("u"), (F.least("a", "m") if and_self else F.col("m")).alias("m"), "held")
+    hot = least.where(F.col("held") > most).select(F.col("u").alias("hot_u"), F.col("m").alias("hot_m"))
+    told = edges.join(F.broadcast(hot), F.col("a") == F.col("hot_u"), "left")
+    rest = told.where("hot_u is null").select("a", "b").join(least.where(F.col("held") <= most), F.col("a") == F.col("u")).select("a", "b", "m")
+    return rest.unionByName(told.where("hot_u is not null").select("a", "b", F.col("hot_m").alias("m")))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(fp, root) of every node of ``edges`` (a, b): root is the least fp of its component.
 
@@ -246,11 +263,10 @@ def components(edges: DataFrame) -> DataFrame:
     seen = mark(now)
     while seen[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        large = both.join(least, F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
-        small = large.join(least, F.col("a") == F.col("u")).select("a", "b", "m")
-        nxt = stored(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "edges")
+        large = with_least(both, seen[0], True).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        small = with_least(large, seen[0], False)
+        # of each node: the edges of its larger neighbours, then of itself, to its least one
+        nxt = stored(small.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct(), "edges")
         now, old = nxt, now
         forget(old)
         was, seen = seen, mark(now)
@@ -259,7 +275,7 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("fp"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("fp"), F.col("b").alias("root")).distinct())
 
 
-def classes(docs: DataFrame, *, threshold: float = 0.8, tolerance: float = 1e-6, crowd: int = 16, chunk: int = 384) -> DataFrame:
+def classes(docs: DataFrame, *, threshold: float = 0.8, tolerance: float = 1e-6, crowd: int = 16, chunk: int = 1024, chunk_shingles: int = 2_000_000) -> DataFrame:
     """doc_id, class_id, n_links and copy_id for each row of ``docs`` (doc_id, text).
 
     Two rows are linked if the Jaccard similarity of their sets of five-word
@@ -269,8 +285,10 @@ def classes(docs: DataFrame, *, threshold: float = 0.8, tolerance: float = 1e-6,
     copies are never paired. Texts that share a band of MinHash values are
     candidates. Bands met by up to ``crowd`` texts give pairs. Texts of larger
     bands are gathered to clusters first, and a cluster is compared in blocks of
-    two chunks of about ``chunk`` texts, which return a row a text, not a pair: no
-    candidate is dropped and no task holds more than two chunks. Either way
+    two chunks of about ``chunk`` texts, or ``chunk_shingles`` shingles where that
+    is less, which return a row a text, not a pair: no candidate is dropped and no
+    task holds more than two chunks. Each text of a cluster goes to as many blocks
+    as the cluster has chunks. Either way
     MinHash values are compared ``STEP`` at a time, pairs fall out when the
     posterior probability of reaching the threshold is under ``tolerance``, and
     the rest are verified on the full sets.
@@ -279,7 +297,9 @@ def classes(docs: DataFrame, *, threshold: float = 0.8, tolerance: float = 1e-6,
     doc_ids take part; a class of them alone has a null class_id. Unlinked texts
     under one doc_id share their class_id; class_key tells such classes apart:
     the least fingerprint of a class, id and text of an empty text. Repeated rows
-    are copies. An empty table gives an empty result. Other columns are not read.
+    are copies. A pair just at the threshold is linked. Texts are read whole,
+    however long. An empty table gives an empty result. Other columns, whatever
+    their names, are not read.
     """
     rules = least_matches(threshold, tolerance)
     every = stored(sketches(docs), "near-sketches")
@@ -319,9 +339,11 @@ def classes(docs: DataFrame, *, threshold: float = 0.8, tolerance: float = 1e-6,
     similar = both >= F.lit(threshold) * (F.size("set_a") + F.size("set_b") - both) - F.lit(1e-9)
     links = stored(likely.join(whole("a"), "a").join(whole("b"), "b").where(similar).select("a", "b", "copies_a", "copies_b"), "near-links")
 
-    members = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("m")).join(clusters, "root").join(sets, "fp")
-    parts = F.ceil(F.col("m") / F.lit(float(chunk))).cast("int")
-    members = members.withColumn("parts", parts).withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    within = clusters.join(reps.select("fp", "n"), "fp")
+    held = within.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("size"))
+    parts = F.ceil(F.greatest(F.col("m") / F.lit(float(chunk)), F.col("size") / F.lit(float(chunk_shingles)))).cast("int")
+    members = held.select("root", parts.alias("parts")).join(clusters, "root").join(sets, "fp")
+    members = members.withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     members = members.select("root", "fp", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "sig", "shingles", "copies")
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
@@ -341,9 +363,15 @@ def classes(docs: DataFrame, *, threshold: float = 0.8, tolerance: float = 1e-6,
 
 
 def distinct_texts(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row of each class: of the least doc_id, and where several rows of the class share that id, one of them."""
-    heads = classes(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_key", "class_id").agg(F.min("text_key").alias("k_key")).select(F.col("class_id").alias("k_id"), "k_key")
+    """``docs`` with one row of each class: of the least doc_id, and where several rows of the class share that id, one of them.
+
+    All columns stay, whatever they are called. Null doc_ids, empty, long and
+    repeated texts, ties and empty tables as in ``classes``: of equal rows one
+    stays, and every empty text under an id of its own.
+    """
+    k_id, k_key, k_text, k_row = free_names(docs, "k_id", "k_key", "k_text", "k_row")
+    heads = classes(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_key", "class_id").agg(F.min("text_key").alias("least")).select(F.col("class_id").alias(k_id), F.col("least").alias(k_key))
     columns = docs.columns
-    mine = docs.withColumn("k_text", F.xxhash64("text")).join(heads, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("k_text") == F.col("k_key")))
-    one = Window.partitionBy("k_id", "k_key").orderBy("k_id")
-    return mine.withColumn("k_row", F.row_number().over(one)).where("k_row = 1").select(*(F.col(f"`{c}`") for c in columns))
+    mine = docs.withColumn(k_text, F.xxhash64("text")).join(heads, F.col("doc_id").cast("long").eqNullSafe(F.col(k_id)) & (F.col(k_text) == F.col(k_key)))
+    one = Window.partitionBy(k_id, k_key).orderBy(k_id)
+    return mine.withColumn(k_row, F.row_number().over(one)).where(F.col(k_row) == 1).select(*(F.col(f"`{c}`") for c in columns))

@@ -109,7 +109,8 @@ o AS (
          coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('17:' || epochs || ':' || doc_id), n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
   FROM r JOIN e USING (domain, lang, source)
 )
-SELECT doc_id, domain, lang, source, n_tokens, budget AS leaf_budget, (epochs + (ahead < rest)::BIGINT)::BIGINT AS repeats FROM o
+SELECT doc_id, domain, lang, source, n_tokens, budget AS leaf_budget, (epochs + (ahead < rest)::BIGINT)::BIGINT AS repeats,
+       (epochs * n_tokens + least(greatest(rest - ahead, 0), n_tokens))::BIGINT AS taken_tokens FROM o
 """,
     "op2_exact_topk": """
 WITH v AS (

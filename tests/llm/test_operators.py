@@ -42,10 +42,15 @@ def test_mix_takes_the_least_prefix_that_reaches_the_budget(spark):
         budget, supply = own[0].leaf_budget, sum(r.n_tokens for r in own)
         taken = sum(r.n_tokens * r.repeats for r in own)
         longest = max(r.n_tokens for r in own)
-        assert budget <= 3 * supply and budget <= taken < budget + max(longest, 1)
+        assert budget <= 3 * supply and budget <= taken < budget + max(longest, 1) and sum(r.taken_tokens for r in own) == budget
         assert max(r.repeats for r in own) - min(r.repeats for r in own) <= 1
     assert mixing.mix(empty(spark)).count() == 0
-    assert set(mixing.mixed(df).columns) == set(df.columns)
+    odd = df.withColumn("m_id", near_dup.F.lit(1)).withColumn("M_key", near_dup.F.lit(1)).withColumn("m_turn", near_dup.F.lit(1)).withColumn("budget", near_dup.F.lit(1))
+    out = mixing.mixed(odd, max_epochs=3)
+    assert out.columns == odd.columns and {r.doc_id for r in out.collect()} <= {r.doc_id for r in rows} and mixing.mixed(empty(spark)).count() == 0
+    # a leaf of one text of 30,000 words, and one of empty texts
+    long = mixing.mix(corpus(spark, [prose(30_000, 1), "", " ", prose(10, 2)], extra=False), share=0.5, max_epochs=1).collect()
+    assert sum(r.taken_tokens for r in long) == sum(r.leaf_budget for r in {(r.domain, r.lang, r.source): r for r in long}.values())
 
 
 # --- 2 top-k
@@ -508,12 +513,34 @@ def test_classes_match_all_pairs(spark, crowd):
 
 def test_one_row_of_each_class_stays(spark):
     df = corpus(spark, near_corpus())
+    for name in ("k_id", "K_Key", "k_text", "k_row", "class_id", "root"):
+        df = df.withColumn(name, near_dup.F.lit(1))
     out = near_dup.distinct_texts(df)
     assert out.columns == df.columns
     roots, _ = linked(near_corpus())
     kept = sorted(r.doc_id for r in out.where("doc_id < 1000").collect())
     assert kept == sorted(set(roots)) and out.where("doc_id in (1000, 1001)").count() == 2 and out.where("doc_id is null").count() == 1
-    assert near_dup.classes(empty(spark)).count() == 0
+    assert near_dup.classes(empty(spark)).count() == 0 and near_dup.distinct_texts(empty(spark)).count() == 0
+
+
+def test_components_with_hot_roots(spark):
+    import random
+
+    rng = random.Random(3)
+    edges = [(0, k) for k in range(1, 700)] + [(1000 + k, 1001 + k) for k in range(0, 60, 2)] + [(1000 + k, 1003 + k) for k in range(0, 40, 2)] + [(5000 + rng.randrange(300), 5000 + rng.randrange(300)) for _ in range(200)]
+    name = lambda k: k.to_bytes(4, "big")
+    got = {int.from_bytes(r.fp, "big"): int.from_bytes(r.root, "big") for r in near_dup.components(spark.createDataFrame([(bytearray(name(b)), bytearray(name(a))) for a, b in edges], "a binary, b binary")).collect()}
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        low, high = sorted((root(a), root(b)))
+        parent[high] = low
+    assert got == {x: root(x) for a, b in edges if a != b for x in (a, b)}
 
 
 def test_unlinked_texts_of_null_or_one_id_all_stay(spark):
