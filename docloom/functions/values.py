@@ -5,12 +5,15 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DOUBLE, LONG, STRING, BOOL, TIME, NULL = T.DoubleType(), T.LongType(), T.StringType(), T.BooleanType(), T.TimestampType(), T.NullType()
+#: Start of the names of columns that are no fields; the compiler refuses fields so called.
+HIDDEN = "~~"
 #: How a null renders where values are compared as text.
 NIL = "<nil>"
 
@@ -68,7 +71,7 @@ class Scope:
         return replace(self, names={**self.names, **names})
 
     def root(self) -> Value:
-        shown = [f for f in self.schema.fields if not f.name.startswith("__")]
+        shown = [f for f in self.schema.fields if not f.name.startswith(HIDDEN)]
         return Value(F.struct(*(F.col(f"`{f.name}`") for f in shown)), T.StructType(shown))
 
     def path(self, path: str) -> Value:
@@ -106,8 +109,15 @@ def constant(x) -> Value:
         return Value(F.lit(x).cast("double"), DOUBLE)
     if isinstance(x, str):
         return Value(F.lit(x), STRING)
-    if isinstance(x, dt.datetime | dt.date):
-        return Value(F.lit(x).cast("timestamp"), TIME)
+    if isinstance(x, Decimal):
+        scale = max(0, -x.as_tuple().exponent) if x.is_finite() else 0
+        return Value(F.lit(x).cast(f"decimal(38,{min(scale, 38)})"), T.DecimalType(38, min(scale, 38))) if x.is_finite() else Value(F.lit(float(x)), DOUBLE)
+    if isinstance(x, dt.datetime):  # without a zone: UTC
+        return Value(F.lit(x if x.tzinfo else x.replace(tzinfo=dt.UTC)).cast("timestamp"), TIME)
+    if isinstance(x, dt.date):
+        return Value(F.lit(dt.datetime(x.year, x.month, x.day, tzinfo=dt.UTC)).cast("timestamp"), TIME)
+    if type(x).__name__ == "ObjectId":
+        return Value(F.lit(str(x)), STRING)
     if isinstance(x, bytes | bytearray):
         return Value(F.lit(bytes(x)), T.BinaryType())
     if isinstance(x, list | tuple):
@@ -166,6 +176,8 @@ def to(v: Value, kind: T.DataType) -> Value:
         return Value(F.when(v.col.isNotNull(), made), kind)
     if isinstance(kind, T.ArrayType) and v.is_array:
         return Value(F.transform(v.col, lambda x: to(Value(x, v.element), kind.elementType).col), kind)
+    if isinstance(kind, T.TimestampType) and v.is_time:
+        return Value(instant(v), kind)
     return Value(v.col.try_cast(kind), kind)
 
 
@@ -178,8 +190,60 @@ def number(v: Value) -> Column:
     return F.lit(None).cast("double")
 
 
+#: Milliseconds of a day.
+DAY = 86_400_000
+
+
+def instant(v: Value) -> Column:
+    """A time as a point in time, whatever the session's zone: dates and times without a zone are UTC."""
+    if isinstance(v.dtype, T.TimestampNTZType):
+        t = v.col
+        return F.make_timestamp(F.year(t), F.month(t), F.dayofmonth(t), F.hour(t), F.minute(t), F.extract(F.lit("SECOND"), t), F.lit("UTC"))
+    if isinstance(v.dtype, T.DateType):
+        return midnight(v.col)
+    return v.col
+
+
+def midnight(day: Column) -> Column:
+    """The point in time at which a date starts in UTC."""
+    return F.timestamp_millis(F.unix_date(day).cast("long") * DAY)
+
+
+def day_of(t: Column) -> Column:
+    """The date of a point in time in UTC."""
+    return F.date_from_unix_date(F.floor(F.unix_millis(t) / DAY).cast("int"))
+
+
+def clock(t: Column, span: int, of: int) -> Column:
+    """Whole units of ``span`` milliseconds within the last ``of``, in UTC."""
+    return F.floor(F.pmod(F.unix_millis(t), F.lit(of).cast("long")) / span).cast("long")
+
+
+#: Letters of date formats and what they stand for, from a point in time and its date in UTC.
+LETTERS = {
+    "%Y": (4, lambda t, d: F.year(d)), "%m": (2, lambda t, d: F.month(d)), "%d": (2, lambda t, d: F.dayofmonth(d)),
+    "%H": (2, lambda t, d: clock(t, 3_600_000, DAY)), "%M": (2, lambda t, d: clock(t, 60_000, 3_600_000)), "%S": (2, lambda t, d: clock(t, 1000, 60_000)), "%L": (3, lambda t, d: clock(t, 1, 1000)),
+}
+
+
+def formatted(t: Column, parts: list[str]) -> Column:
+    """Text of a point in time in UTC from letters as in LETTERS, ``%z`` and plain text."""
+    day = day_of(t)
+
+    def piece(p: str) -> Column:
+        if p == "%z":
+            return F.lit("+0000")
+        if p not in LETTERS:
+            return F.lit(p)
+        width, f = LETTERS[p]
+        n = f(t, day).cast("string")
+        return F.lpad(n, F.greatest(F.length(n), F.lit(width)), F.lit("0"))
+
+    return F.when(t.isNotNull(), F.concat(*(piece(p) for p in parts)) if parts else F.lit(""))
+
+
 def iso(v: Value) -> Column:
-    return F.date_format(v.col.cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    return formatted(instant(v), ["%Y", "-", "%m", "-", "%d", "T", "%H", ":", "%M", ":", "%S", ".", "%L", "Z"])
 
 
 def text(v: Value) -> Column:
@@ -190,7 +254,7 @@ def text(v: Value) -> Column:
         return F.lit(None).cast("string")
     if isinstance(v.dtype, T.DoubleType | T.FloatType):
         whole = v.col.try_cast("long")
-        return F.when((v.col == whole.cast("double")) & (F.abs(v.col) < 1e15), whole.cast("string")).otherwise(v.col.cast("string"))
+        return F.when((v.col == whole.cast("double")) & (F.abs(v.col) < float(1 << 53)), whole.cast("string")).otherwise(v.col.cast("string"))
     if v.is_time:
         return iso(v)
     if v.is_array or v.is_document:
@@ -219,7 +283,8 @@ def cmp(a: Value, b: Value) -> Column:
     """-1, 0 or 1 as long, never null. Numbers (also in text) compare as numbers, all else as text; null renders as text of its own, so it lies above numbers and times and below letters."""
     plain = (a.is_number and b.is_number) or (a.is_time and b.is_time)
     if plain:
-        x, y = (number(a), number(b)) if a.is_number else (a.col.cast("timestamp"), b.col.cast("timestamp"))
+        exact = isinstance(a.dtype, T.IntegralType) and isinstance(b.dtype, T.IntegralType)
+        x, y = (a.col, b.col) if exact else (number(a), number(b)) if a.is_number else (instant(a), instant(b))
         out = F.when(x.isNull() & y.isNull(), F.lit(0)).when(x.isNull(), F.lit(1)).when(y.isNull(), F.lit(-1)).otherwise(_three(x, y))
     else:
         x, y = F.coalesce(text(a), F.lit(NIL)), F.coalesce(text(b), F.lit(NIL))
@@ -234,6 +299,8 @@ def same(a: Value, b: Value) -> Column:
     """Whether ``cmp`` is 0, in a form that joins and filters can use."""
     if a.is_null and b.is_null:
         return F.lit(True)
+    if isinstance(a.dtype, T.IntegralType) and isinstance(b.dtype, T.IntegralType):
+        return a.col.eqNullSafe(b.col)  # a double holds no long above 2^53
     if a.is_number and b.is_number:
         return number(a).eqNullSafe(number(b))
     if a.dtype == b.dtype and (a.is_time or isinstance(a.dtype, T.BooleanType)):
@@ -244,14 +311,16 @@ def same(a: Value, b: Value) -> Column:
 
 
 def when_text(s: Column) -> Column:
-    """Time from ISO text or a date; else null."""
-    return F.coalesce(F.try_to_timestamp(s), F.try_to_timestamp(s, F.lit("yyyy-MM-dd")))
+    """Time from ISO text or a date, in UTC where no zone is given; else null."""
+    zoned = F.rlike(s, F.lit("[0-9]([Zz]| ?UTC| ?GMT|[+-][0-9]{2}:?[0-9]{2})$")) & F.contains(s, F.lit(":"))
+    day = F.rlike(s, F.lit("^ *[0-9]{4}-[0-9]{1,2}-[0-9]{1,2} *$"))
+    return F.try_to_timestamp(F.when(zoned, s).when(day, F.concat(F.trim(s), F.lit("T00:00:00Z"))).otherwise(F.concat(s, F.lit("Z"))))
 
 
 def time(v: Value) -> Column:
     """As UTC time: times, ISO text, or seconds (milliseconds above 10^12) since 1970."""
     if v.is_time:
-        return v.col.cast("timestamp")
+        return instant(v)
     if v.is_text:
         return when_text(v.col)
     if v.is_number:

@@ -26,7 +26,7 @@ def equals(v: Value, operand) -> Column:
     if v.is_text and x.is_text or (isinstance(v.dtype, T.BooleanType) and isinstance(x.dtype, T.BooleanType)):
         return (v.col == x.col)
     if v.is_time and x.is_time:
-        return (v.col.cast("timestamp") == x.col)
+        return V.instant(v) == V.instant(x)
     return (V.text(v) == V.text(x))
 
 

@@ -15,8 +15,8 @@ from docloom.functions.expressions import compile_expr
 from docloom.functions.values import LONG, Scope, Value
 from docloom.operators.filters import compile_filter
 
-#: Hidden columns: order of rows, score of a vector search, and the row a sub-pipeline runs for.
-ORD, SCORE, RID = "__ord", "__score", "__rid"
+#: Hidden columns, all under a prefix that fields may not have: order of rows, score of a vector search, and the row a sub-pipeline runs for.
+ORD, SCORE, RID = "~~ord", "~~score", "~~rid"
 
 
 @dataclass(frozen=True)
@@ -30,7 +30,7 @@ class Frame:
 
     @property
     def schema(self) -> T.StructType:
-        return T.StructType([f for f in self.df.schema.fields if not f.name.startswith("__")])
+        return T.StructType([f for f in self.df.schema.fields if not f.name.startswith(V.HIDDEN)])
 
     @property
     def columns(self) -> list[str]:
@@ -38,7 +38,7 @@ class Frame:
 
     @property
     def hidden(self) -> list[str]:
-        return [c for c in self.df.columns if c.startswith("__")]
+        return [c for c in self.df.columns if c.startswith(V.HIDDEN)]
 
     @property
     def ordered(self) -> bool:
@@ -184,8 +184,8 @@ def document(frame: Frame, v: Value) -> Frame:
     if not isinstance(v.dtype, T.StructType):
         raise BadSpec("the new root must be a document")
     checked = F.when(v.col.isNull(), F.raise_error(F.lit("the new root must be a document"))).otherwise(v.col)
-    df = frame.df.withColumn("__new", checked)
-    return frame.with_df(df.select(*(F.col(c) for c in frame.hidden), *(F.col("__new").getField(f.name).alias(f.name) for f in v.dtype.fields)))
+    df = frame.df.withColumn("~~new", checked)
+    return frame.with_df(df.select(*(F.col(c) for c in frame.hidden), *(F.col("~~new").getField(f.name).alias(f.name) for f in v.dtype.fields)))
 
 
 @stage("$replaceRoot")
@@ -207,12 +207,12 @@ def unwind(frame: Frame, spec) -> Frame:
     if not v.is_array:
         return frame if keep else frame.with_df(frame.df.where(v.col.isNotNull()))
     explode = F.posexplode_outer if keep else F.posexplode
-    df = frame.df.select("*", explode(v.col).alias("__pos", "__new"))
+    df = frame.df.select("*", explode(v.col).alias("~~pos", "~~new"))
     if frame.ordered:
-        df = df.withColumn(ORD, F.struct(F.col(ORD).alias("o"), F.coalesce("__pos", F.lit(0)).alias("p")))
+        df = df.withColumn(ORD, F.struct(F.col(ORD).alias("o"), F.coalesce("~~pos", F.lit(0)).alias("p")))
     first, *rest = path.split(".")
-    new = written(frame.scope().path(first), rest, Value(F.col("__new"), v.element))
-    return frame.with_df(df.withColumn(first, new.col).drop("__pos", "__new"))
+    new = written(frame.scope().path(first), rest, Value(F.col("~~new"), v.element))
+    return frame.with_df(df.withColumn(first, new.col).drop("~~pos", "~~new"))
 
 
 # --- order and number of rows ---------------------------------------------------------------------
@@ -233,7 +233,7 @@ def sort_key(v: Value, up: bool) -> list[Column]:
 def encoded(v: Value, up: bool) -> list[Column]:
     """The same order as values that sort upwards, to be kept in a column."""
     if v.is_number or v.is_time:
-        n = v.col if v.is_number else F.unix_micros(v.col.cast("timestamp"))
+        n = v.col if v.is_number else F.unix_micros(V.instant(v))
         return [n.isNull() if up else ~n.isNull(), n if up else -n]
     c = V.text(v) if not v.is_text else v.col
     if up:
@@ -263,7 +263,7 @@ def sort(frame: Frame, spec) -> Frame:
 def ranked(frame: Frame, test) -> Frame:
     """Keeps rows of each key by their number in its order."""
     by = Window.partitionBy(*frame.keys).orderBy(F.col(ORD).asc() if frame.ordered else F.lit(1))
-    return frame.with_df(frame.df.withColumn("__n", F.row_number().over(by)).where(test(F.col("__n"))).drop("__n"))
+    return frame.with_df(frame.df.withColumn("~~n", F.row_number().over(by)).where(test(F.col("~~n"))).drop("~~n"))
 
 
 def counted(x) -> int:
@@ -289,7 +289,7 @@ def sample(frame: Frame, spec) -> Frame:
     n = counted(spec["size"])
     if frame.keys:
         by = Window.partitionBy(*frame.keys).orderBy(F.rand())
-        return frame.with_df(frame.df.withColumn("__n", F.row_number().over(by)).where(F.col("__n") <= n).drop("__n"))
+        return frame.with_df(frame.df.withColumn("~~n", F.row_number().over(by)).where(F.col("~~n") <= n).drop("~~n"))
     return frame.with_df(frame.df.orderBy(F.rand()).limit(n))
 
 
@@ -354,9 +354,9 @@ def group(frame: Frame, spec) -> Frame:
     if frame.ordered:
         aggregates.append(F.min(ORD).alias(ORD))
     if not aggregates:
-        aggregates.append(F.count(F.lit(1)).alias("__count"))
+        aggregates.append(F.count(F.lit(1)).alias("~~count"))
     out = frame.df.groupBy(*frame.keys, untyped(key).alias("_id")).agg(*aggregates)
-    return frame.with_df(out.drop("__count"))
+    return frame.with_df(out.drop("~~count"))
 
 
 @stage("$sortByCount")
@@ -376,17 +376,17 @@ def count(frame: Frame, spec) -> Frame:
 
 
 def numbered(df: DataFrame, by: list[Column], keys: tuple[str, ...] = ()) -> DataFrame:
-    """Adds ``__n``, the rows' number from 1 in an order, without gathering them in one task: sorted by range, then numbered from what the partitions before hold."""
+    """Adds ``~~n``, the rows' number from 1 in an order, without gathering them in one task: sorted by range, then numbered from what the partitions before hold."""
     if keys:
-        return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*by)).cast("long"))
+        return df.withColumn("~~n", F.row_number().over(Window.partitionBy(*keys).orderBy(*by)).cast("long"))
     from docloom.sources.storage import stored
 
-    placed = stored(df.orderBy(*by).withColumn("__part", F.spark_partition_id()).withColumn("__own", F.monotonically_increasing_id()), "numbered")
-    rows = placed.withColumn("__low", F.expr("__own & 8589934591L"))
-    sizes = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__held"))
-    before = sizes.withColumn("__base", F.coalesce(F.sum("__held").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__part", "__base")
-    out = rows.join(F.broadcast(before), "__part")  # a row a partition
-    return out.withColumn("__n", F.col("__base") + F.col("__low") + 1).drop("__part", "__own", "__low", "__base")
+    placed = stored(df.orderBy(*by).withColumn("~~part", F.spark_partition_id()).withColumn("~~own", F.monotonically_increasing_id()), "numbered")
+    rows = placed.withColumn("~~low", F.col("~~own").bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = rows.groupBy("~~part").agg(F.count(F.lit(1)).alias("~~held"))
+    before = sizes.withColumn("~~base", F.coalesce(F.sum("~~held").over(Window.orderBy("~~part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("~~part", "~~base")
+    out = rows.join(F.broadcast(before), "~~part")  # a row a partition
+    return out.withColumn("~~n", F.col("~~base") + F.col("~~low") + 1).drop("~~part", "~~own", "~~low", "~~base")
 
 
 @stage("$bucketAuto")
@@ -398,19 +398,19 @@ def bucket_auto(frame: Frame, spec) -> Frame:
     if n < 1:
         raise BadSpec("buckets must be positive")
     key = compile_expr(spec["groupBy"], frame.scope())
-    df = frame.df.withColumn("__key", untyped(key))
-    by = [*sort_key(Value(F.col("__key"), key.dtype if not key.is_null else V.STRING), True), *([F.col(ORD).asc()] if frame.ordered else [])]
+    df = frame.df.withColumn("~~key", untyped(key))
+    by = [*sort_key(Value(F.col("~~key"), key.dtype if not key.is_null else V.STRING), True), *([F.col(ORD).asc()] if frame.ordered else [])]
     rows = numbered(df, by, frame.keys)
     total = F.count(F.lit(1)).over(Window.partitionBy(*frame.keys)) if frame.keys else None
     if total is not None:
-        rows = rows.withColumn("__all", total)
+        rows = rows.withColumn("~~all", total)
     else:
-        rows = rows.crossJoin(F.broadcast(frame.df.agg(F.count(F.lit(1)).alias("__all"))))  # one row
-    size, rest = F.floor(F.col("__all") / F.lit(n)), F.col("__all") % F.lit(n)
+        rows = rows.crossJoin(F.broadcast(frame.df.agg(F.count(F.lit(1)).alias("~~all"))))  # one row
+    size, rest = F.floor(F.col("~~all") / F.lit(n)), F.col("~~all") % F.lit(n)
     wide = rest * (size + 1)
-    place = F.when(F.col("__n") <= wide, F.floor((F.col("__n") - 1) / (size + 1))).otherwise(rest + F.floor((F.col("__n") - 1 - wide) / F.greatest(size, F.lit(1))))
-    out = rows.withColumn("__bucket", place).groupBy(*frame.keys, "__bucket").agg(F.struct(F.min_by("__key", "__n").alias("min"), F.max_by("__key", "__n").alias("max")).alias("_id"), F.count(F.lit(1)).alias("count"))
-    out = out.withColumnRenamed("__bucket", ORD) if frame.ordered else out.orderBy("__bucket").drop("__bucket")
+    place = F.when(F.col("~~n") <= wide, F.floor((F.col("~~n") - 1) / (size + 1))).otherwise(rest + F.floor((F.col("~~n") - 1 - wide) / F.greatest(size, F.lit(1))))
+    out = rows.withColumn("~~bucket", place).groupBy(*frame.keys, "~~bucket").agg(F.struct(F.min_by("~~key", "~~n").alias("min"), F.max_by("~~key", "~~n").alias("max")).alias("_id"), F.count(F.lit(1)).alias("count"))
+    out = out.withColumnRenamed("~~bucket", ORD) if frame.ordered else out.orderBy("~~bucket").drop("~~bucket")
     return frame.with_df(out)
 
 
@@ -471,7 +471,7 @@ def foreign(frame: Frame, name: str) -> DataFrame:
 
 def join_key(v: Value) -> Column:
     """What lookups compare: numbers by value, all else by text, null equal to null."""
-    return V.text(v) if not v.is_number else V.text(Value(v.col.cast("double"), V.DOUBLE))
+    return V.text(v)
 
 
 def row_id(df: DataFrame) -> DataFrame:
@@ -479,7 +479,7 @@ def row_id(df: DataFrame) -> DataFrame:
 
 
 def renamed(df: DataFrame) -> DataFrame:
-    return df.select(*(q(c).alias(f"__f_{c}") for c in df.columns if not c.startswith("__")), (F.col(ORD) if ORD in df.columns else F.monotonically_increasing_id()).alias("__f__ord"))
+    return df.select(*(q(c).alias(f"~~f_{c}") for c in df.columns if not c.startswith(V.HIDDEN)), (F.col(ORD) if ORD in df.columns else F.monotonically_increasing_id()).alias("~~f__ord"))
 
 
 @stage("$lookup")
@@ -489,7 +489,7 @@ def lookup(frame: Frame, spec) -> Frame:
     if "pipeline" in spec:
         return lookup_pipeline(frame, spec)
     df = foreign(frame, spec["from"])
-    schema = T.StructType([f for f in df.schema.fields if not f.name.startswith("__")])
+    schema = T.StructType([f for f in df.schema.fields if not f.name.startswith(V.HIDDEN)])
     right = renamed(df)
     local, there = frame.scope().path(spec["localField"]), walk_renamed(schema, spec["foreignField"])
     whole = isinstance(local.dtype, T.IntegralType) and isinstance(there.dtype, T.IntegralType)
@@ -502,38 +502,38 @@ def lookup(frame: Frame, spec) -> Frame:
 
     left = row_id(frame.df)
     missing = local.col.isNull() if local.is_array else F.lit(False)
-    tagged = exploded(left.withColumn("__none", missing | (F.size(local.col) == 0 if local.is_array else F.lit(False))), local, "__k", True)
-    met = F.col("__k").eqNullSafe(F.col("__g"))
+    tagged = exploded(left.withColumn("~~none", missing | (F.size(local.col) == 0 if local.is_array else F.lit(False))), local, "~~k", True)
+    met = F.col("~~k").eqNullSafe(F.col("~~g"))
     if local.is_array:  # no element is not a null element
-        met = met & ~F.col("__none")
-    pairs = tagged.join(exploded(right, there, "__g", False), met, "left")
+        met = met & ~F.col("~~none")
+    pairs = tagged.join(exploded(right, there, "~~g", False), met, "left")
     keep = [c for c in frame.df.columns if c != out]
-    item = F.struct(*(q(f"__f_{f.name}").alias(f.name) for f in schema.fields))
-    hit = F.when(F.col("__f__ord").isNotNull(), F.struct(F.col("__f__ord").alias("o"), F.struct(item.alias("d")).alias("w")))
-    rows = pairs.groupBy(RID).agg(F.first(F.struct(*(q(c) for c in keep))).alias("__row"), F.sort_array(F.collect_list(hit)).alias("__list"))
-    found = F.array_distinct("__list") if local.is_array or there.is_array else F.col("__list")
-    return frame.with_df(rows.select(*(F.col("__row").getField(c).alias(c) for c in keep), F.transform(found, lambda e: e["w"]["d"]).alias(out)))
+    item = F.struct(*(q(f"~~f_{f.name}").alias(f.name) for f in schema.fields))
+    hit = F.when(F.col("~~f__ord").isNotNull(), F.struct(F.col("~~f__ord").alias("o"), F.struct(item.alias("d")).alias("w")))
+    rows = pairs.groupBy(RID).agg(F.first(F.struct(*(q(c) for c in keep))).alias("~~row"), F.sort_array(F.collect_list(hit)).alias("~~list"))
+    found = F.array_distinct("~~list") if local.is_array or there.is_array else F.col("~~list")
+    return frame.with_df(rows.select(*(F.col("~~row").getField(c).alias(c) for c in keep), F.transform(found, lambda e: e["w"]["d"]).alias(out)))
 
 
 def walk_renamed(schema: T.StructType, path: str) -> Value:
     first, *rest = path.split(".")
     f = next((f for f in schema.fields if f.name == first), None)
-    return V.nothing() if f is None else V.walk(Value(q(f"__f_{first}"), f.dataType), rest)
+    return V.nothing() if f is None else V.walk(Value(q(f"~~f_{first}"), f.dataType), rest)
 
 
 def joined_lookup(frame: Frame, spec, keep: bool) -> Frame:
     """``$lookup`` on plain fields directly followed by ``$unwind`` of its list: a join, no lists."""
     df = foreign(frame, spec["from"])
-    schema = T.StructType([f for f in df.schema.fields if not f.name.startswith("__")])
+    schema = T.StructType([f for f in df.schema.fields if not f.name.startswith(V.HIDDEN)])
     right = renamed(df)
     local, there = frame.scope().path(spec["localField"]), walk_renamed(schema, spec["foreignField"])
     whole = isinstance(local.dtype, T.IntegralType) and isinstance(there.dtype, T.IntegralType)
     mine, theirs = (local.col.cast("long"), there.col.cast("long")) if whole else (V.number(local), V.number(there)) if local.is_number and there.is_number else (join_key(local), join_key(there))
-    item = F.struct(*(q(f"__f_{f.name}").alias(f.name) for f in schema.fields))
+    item = F.struct(*(q(f"~~f_{f.name}").alias(f.name) for f in schema.fields))
     joined = frame.df.join(right, mine.eqNullSafe(theirs), "left" if keep else "inner")
     rest = [c for c in frame.df.columns if c not in (spec["as"], ORD)]
-    order = [F.struct(F.col(ORD).alias("o"), F.col("__f__ord").alias("p")).alias(ORD)] if frame.ordered else []
-    return frame.with_df(joined.select(*order, *(q(c) for c in rest), F.when(F.col("__f__ord").isNotNull(), item).alias(spec["as"])))
+    order = [F.struct(F.col(ORD).alias("o"), F.col("~~f__ord").alias("p")).alias(ORD)] if frame.ordered else []
+    return frame.with_df(joined.select(*order, *(q(c) for c in rest), F.when(F.col("~~f__ord").isNotNull(), item).alias(spec["as"])))
 
 
 def plain_lookup(frame: Frame, spec) -> bool:
@@ -566,8 +566,8 @@ def lookup_pipeline(frame: Frame, spec) -> Frame:
     names, picks = {}, []
     for k, (name, x) in enumerate(let.items()):
         v = compile_expr(x, scope)
-        picks.append(untyped(v).alias(f"__let{k}_{name}"))
-        names[name] = Value(F.col(f"__let{k}_{name}"), V.STRING if v.is_null else v.dtype)
+        picks.append(untyped(v).alias(f"~~let{k}_{name}"))
+        names[name] = Value(F.col(f"~~let{k}_{name}"), V.STRING if v.is_null else v.dtype)
     left = stored(row_id(frame.df), "lookup")  # read twice, so its row numbers must not change
     tagged = left.select(RID, *frame.keys, *picks)
     first = steps[0].get("$match") if len(steps[0]) == 1 else None
@@ -580,7 +580,7 @@ def lookup_pipeline(frame: Frame, spec) -> Frame:
     got = run_stages(replace(inner, df=pairs), rest)
     item = F.struct(*(q(c).alias(c) for c in got.columns))
     order = F.col(ORD) if got.ordered else F.lit(0)
-    lists = got.df.groupBy(RID).agg(F.transform(F.sort_array(F.collect_list(F.struct(order.alias("o"), F.struct(item.alias("d")).alias("w")))), lambda e: e["w"]["d"]).alias("__list"))
+    lists = got.df.groupBy(RID).agg(F.transform(F.sort_array(F.collect_list(F.struct(order.alias("o"), F.struct(item.alias("d")).alias("w")))), lambda e: e["w"]["d"]).alias("~~list"))
     kind = T.ArrayType(got.schema)
     keep = [c for c in frame.df.columns if c != spec["as"]]
     otherwise = F.array().cast(kind)
@@ -588,7 +588,7 @@ def lookup_pipeline(frame: Frame, spec) -> Frame:
     if counter is not None and steps[-1].get("$count") == counter:  # a count of nothing is one row with 0
         otherwise = F.array(F.struct(F.lit(0).cast("long").alias(counter)))
     joined = left.join(lists, RID, "left")
-    return frame.with_df(joined.select(*(q(c) for c in keep), F.coalesce(F.col("__list"), otherwise).alias(spec["as"])))
+    return frame.with_df(joined.select(*(q(c) for c in keep), F.coalesce(F.col("~~list"), otherwise).alias(spec["as"])))
 
 
 @stage("$graphLookup")
@@ -597,7 +597,7 @@ def graph_lookup(frame: Frame, spec) -> Frame:
     from docloom.sources.storage import stored
 
     df = foreign(frame, spec["from"])
-    schema = T.StructType([f for f in df.schema.fields if not f.name.startswith("__")])
+    schema = T.StructType([f for f in df.schema.fields if not f.name.startswith(V.HIDDEN)])
     depth_name = spec.get("depthField")
     right = df
     if "restrictSearchWithMatch" in spec:
@@ -609,32 +609,32 @@ def graph_lookup(frame: Frame, spec) -> Frame:
     def values(v: Value) -> Column:
         return F.transform(v.col, lambda x: join_key(Value(x, v.element))) if v.is_array else F.array(join_key(v))
 
-    edges = right.withColumn("__next", values(from_v)).withColumn("__g", F.explode(F.array_distinct(values(to_v)))).where(F.col("__g").isNotNull())
+    edges = right.withColumn("~~next", values(from_v)).withColumn("~~g", F.explode(F.array_distinct(values(to_v)))).where(F.col("~~g").isNotNull())
     left = stored(row_id(frame.df), "graph")  # read twice, so its row numbers must not change
     start = compile_expr(spec["startWith"], frame.scope())
-    frontier = left.select(RID, F.explode(values(start)).alias("__value")).where(F.col("__value").isNotNull()).distinct()
-    frontier = stored(frontier.withColumn("__depth", F.lit(0).cast("long")), "graph")
-    seen, found, depth = frontier.select(RID, "__value"), [], 0
+    frontier = left.select(RID, F.explode(values(start)).alias("~~value")).where(F.col("~~value").isNotNull()).distinct()
+    frontier = stored(frontier.withColumn("~~depth", F.lit(0).cast("long")), "graph")
+    seen, found, depth = frontier.select(RID, "~~value"), [], 0
     most = spec.get("maxDepth")
     while True:
-        step = stored(frontier.join(edges, F.col("__value") == F.col("__g")).drop("__g"), "graph")
-        found.append(step.drop("__value", "__next"))
+        step = stored(frontier.join(edges, F.col("~~value") == F.col("~~g")).drop("~~g"), "graph")
+        found.append(step.drop("~~value", "~~next"))
         if most is not None and depth >= most:
             break
-        new = step.select(RID, F.explode("__next").alias("__value")).where(F.col("__value").isNotNull()).distinct().join(seen, [RID, "__value"], "left_anti")
+        new = step.select(RID, F.explode("~~next").alias("~~value")).where(F.col("~~value").isNotNull()).distinct().join(seen, [RID, "~~value"], "left_anti")
         depth += 1
-        frontier = stored(new.withColumn("__depth", F.lit(depth).cast("long")), "graph")
+        frontier = stored(new.withColumn("~~depth", F.lit(depth).cast("long")), "graph")
         if frontier.isEmpty():
             break
-        seen = stored(seen.unionByName(frontier.select(RID, "__value")), "graph")
+        seen = stored(seen.unionByName(frontier.select(RID, "~~value")), "graph")
     rows = reduce(DataFrame.unionByName, found)
-    best = rows.groupBy(RID, "__f__ord").agg(F.min("__depth").alias("__depth"), *(F.first(f"__f_{f.name}").alias(f"__f_{f.name}") for f in schema.fields))
-    item = F.struct(*(q(f"__f_{f.name}").alias(f.name) for f in schema.fields), *([F.col("__depth").alias(depth_name)] if depth_name else []))
+    best = rows.groupBy(RID, "~~f__ord").agg(F.min("~~depth").alias("~~depth"), *(F.first(f"~~f_{f.name}").alias(f"~~f_{f.name}") for f in schema.fields))
+    item = F.struct(*(q(f"~~f_{f.name}").alias(f.name) for f in schema.fields), *([F.col("~~depth").alias(depth_name)] if depth_name else []))
     kind = T.StructType([*schema.fields, *([T.StructField(depth_name, LONG)] if depth_name else [])])
-    lists = best.groupBy(RID).agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col("__depth").alias("d"), F.col("__f__ord").alias("o"), F.struct(item.alias("x")).alias("w")))), lambda e: e["w"]["x"]).alias("__list"))
+    lists = best.groupBy(RID).agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col("~~depth").alias("d"), F.col("~~f__ord").alias("o"), F.struct(item.alias("x")).alias("w")))), lambda e: e["w"]["x"]).alias("~~list"))
     keep = [c for c in frame.df.columns if c != spec["as"]]
     joined = left.join(lists, RID, "left")
-    return frame.with_df(joined.select(*(q(c) for c in keep), F.coalesce(F.col("__list"), F.array().cast(T.ArrayType(kind))).alias(spec["as"])))
+    return frame.with_df(joined.select(*(q(c) for c in keep), F.coalesce(F.col("~~list"), F.array().cast(T.ArrayType(kind))).alias(spec["as"])))
 
 
 @stage("$unionWith")

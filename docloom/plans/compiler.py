@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.errors import BadSpec, UnsupportedOperator
+from docloom.functions import values as V
 from docloom.operators import stages as S
 from docloom.operators.stages import ORD, Frame
 
@@ -63,6 +64,9 @@ def run_stages(frame: Frame, pipeline: list[dict]) -> Frame:
 
 def compile_pipeline(df: DataFrame, pipeline: list[dict], catalog=None, key: str | list[str] | None = None) -> DataFrame:
     """The pipeline over ``df`` as one lazy plan. ``key`` names the columns that order the rows where order matters; without one it is the order of the scan."""
+    hidden = [c for c in df.columns if c.startswith(V.HIDDEN)]
+    if hidden:
+        raise BadSpec(f"names that start with {V.HIDDEN} are reserved: {hidden}")
     frame = Frame(df, catalog)
     if needs_order(pipeline):
         keys = [key] if isinstance(key, str) else key

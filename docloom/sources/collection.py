@@ -174,16 +174,16 @@ class Collection:
     def _check(self, df: DataFrame, indexes: dict[str, list[str]]) -> None:
         """Raises where two rows share a key; arrays count by element, rows that lack a field do not count."""
         for name, fields in indexes.items():
-            rows = df.withColumn("__row", F.monotonically_increasing_id())
+            rows = df.withColumn("~~row", F.monotonically_increasing_id())
             if any(f not in df.columns for f in fields):
                 continue
             kinds = {f.name: f.dataType for f in df.schema.fields}
             for k, f in enumerate(fields):
                 col = F.col(f"`{f}`")
-                rows = rows.withColumn(f"__k{k}", F.explode(F.array_distinct(col)) if isinstance(kinds[f], T.ArrayType) else col)
-            ks = [f"__k{k}" for k in range(len(fields))]
+                rows = rows.withColumn(f"~~k{k}", F.explode(F.array_distinct(col)) if isinstance(kinds[f], T.ArrayType) else col)
+            ks = [f"~~k{k}" for k in range(len(fields))]
             rows = rows.dropna(subset=ks)
-            twice = rows.groupBy(*(V.text(Value(F.col(k), rows.schema[k].dataType)).alias(k) for k in ks)).agg(F.count_distinct("__row").alias("n")).where("n > 1")
+            twice = rows.groupBy(*(V.text(Value(F.col(k), rows.schema[k].dataType)).alias(k) for k in ks)).agg(F.count_distinct("~~row").alias("n")).where("n > 1")
             if not twice.isEmpty():
                 raise DuplicateKey(f"index {name} of {self.name}")
 
@@ -212,39 +212,39 @@ class Collection:
         self._swap(aligned(self.df, df) if self.engine.has(self.name) else df)
 
     def _hits(self, filter: dict, first_only: bool) -> DataFrame:
-        """All rows with ``__hit``; of the first match only, by the collection's key."""
+        """All rows with ``~~hit``; of the first match only, by the collection's key."""
         df = self.df
-        rows = df.withColumn("__hit", F.coalesce(compile_filter(filter, Scope(df.schema)), F.lit(False)))
+        rows = df.withColumn("~~hit", F.coalesce(compile_filter(filter, Scope(df.schema)), F.lit(False)))
         if not first_only:
             return rows
         key = self.engine.keys.get(self.name)
-        rows = stored(rows.withColumn("__at", F.monotonically_increasing_id()), "hits")
-        order = F.struct(F.col(f"`{key}`"), F.col("__at")) if key else F.struct(F.col("__at"))
-        low = rows.where("__hit").agg(F.min(order).alias("m")).select(F.col("m.__at").alias("__first"))
+        rows = stored(rows.withColumn("~~at", F.monotonically_increasing_id()), "hits")
+        order = F.struct(F.col(f"`{key}`"), F.col("~~at")) if key else F.struct(F.col("~~at"))
+        low = rows.where(F.col("~~hit")).agg(F.min(order).alias("m")).select(F.col("m.~~at").alias("~~first"))
         one = rows.crossJoin(F.broadcast(low))  # one row
-        return one.withColumn("__hit", F.coalesce(F.col("__at") == F.col("__first"), F.lit(False))).drop("__at", "__first")
+        return one.withColumn("~~hit", F.coalesce(F.col("~~at") == F.col("~~first"), F.lit(False))).drop("~~at", "~~first")
 
     def update(self, filter: dict, update: dict, *, multi: bool = False, upsert: bool = False) -> UpdateResult:
         rows = stored(self._hits(filter, not multi), "update")
-        matched = rows.where("__hit").count()
+        matched = rows.where(F.col("~~hit")).count()
         if not matched:
             if not upsert:
                 return UpdateResult(0, 0)
             return UpdateResult(0, 0, self.insert([U.upserted(filter, update)])[0])
-        schema = T.StructType([f for f in rows.schema.fields if f.name != "__hit"])
-        new = U.applied(schema, update, F.col("__hit"))
+        schema = T.StructType([f for f in rows.schema.fields if f.name != "~~hit"])
+        new = U.applied(schema, update, F.col("~~hit"))
         scope = Scope(schema)
         changed = F.lit(False)
         for n, v in new.items():
             old = V.to(scope.path(n), v.dtype)
             changed = changed | ~v.col.eqNullSafe(old.col)
-        modified = rows.where(F.col("__hit") & changed).count()
+        modified = rows.where(F.col("~~hit") & changed).count()
         self._swap(rows.select(*(v.col.alias(n) for n, v in new.items())))
         return UpdateResult(matched, modified)
 
     def delete(self, filter: dict, *, limit: int = 0) -> int:
         rows = stored(self._hits(filter, limit == 1), "delete")
-        n = rows.where("__hit").count()
+        n = rows.where(F.col("~~hit")).count()
         if n:
-            self._swap(rows.where(~F.col("__hit")).drop("__hit"))
+            self._swap(rows.where(~F.col("~~hit")).drop("~~hit"))
         return n
