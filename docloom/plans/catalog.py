@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.sources.collection import Engine
+from docloom.errors import UnsupportedOperator
+from docloom.sources.collection import DuplicateKey, Engine
+from docloom.sources.storage import new_path
+from docloom.streaming import compile_stream
 
 #: Tables and the column that orders each.
 KEYS = {
@@ -103,25 +106,14 @@ query("lookup_equality", "nation", [{"$lookup": {"from": "supplier", "localField
 query("lookup_unwind_join", "customer", [{"$match": {"c_acctbal": {"$gt": 5000}}}, {"$lookup": {"from": "orders", "localField": "c_custkey", "foreignField": "o_custkey", "as": "o"}}, {"$unwind": {"path": "$o", "preserveNullAndEmptyArrays": True}}, {"$project": {"c_custkey": 1, "o_orderkey": "$o.o_orderkey"}}],
       "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey WHERE c_acctbal > 5000")
 
-#: The two costliest chains, from every row that comes in.
+#: The two costliest chains, from every customer and every part.
 TOP_ORDERS = [{"$lookup": {"from": "orders", "let": {"c": "$c_custkey"}, "pipeline": [{"$match": {"$expr": {"$eq": ["$o_custkey", "$$c"]}}}, {"$sort": {"o_totalprice": -1}}, {"$limit": 2}, {"$project": {"o_totalprice": 1}}], "as": "top"}}, {"$project": {"c_custkey": 1, "n": {"$size": "$top"}, "best": {"$let": {"vars": {"t": {"$first": "$top"}}, "in": "$$t.o_totalprice"}}}}]
 WALK = [{"$project": {"p_partkey": 1, "half": {"$toLong": {"$floor": {"$divide": ["$p_partkey", 2]}}}}}, {"$lookup": {"from": "nation", "localField": "half", "foreignField": "n_nationkey", "as": "x"}}, {"$graphLookup": {"from": "nation", "startWith": "$half", "connectFromField": "n_regionkey", "connectToField": "n_nationkey", "as": "walk", "depthField": "d"}}, {"$project": {"p_partkey": 1, "n": {"$size": "$walk"}, "deepest": {"$reduce": {"input": "$walk", "initialValue": -1, "in": {"$cond": [{"$gt": ["$$this.d", "$$value"]}, "$$this.d", "$$value"]}}}}}]
 
-query("lookup_pipeline", "customer", [{"$match": {"c_custkey": {"$lte": 200}}}, *TOP_ORDERS],
-      "SELECT c_custkey, least(count(o_orderkey), 2) AS n, max(o_totalprice) AS best FROM customer LEFT JOIN orders ON c_custkey = o_custkey WHERE c_custkey <= 200 GROUP BY 1")
-
-query("graph_lookup", "part", [{"$match": {"p_partkey": {"$lte": 64}}}, *WALK],
-      """WITH RECURSIVE s AS (SELECT p_partkey, p_partkey // 2 AS v FROM part WHERE p_partkey <= 64),
-w(p_partkey, k, nx, d, seen) AS (
-  SELECT p_partkey, n_nationkey, n_regionkey, 0, [n_nationkey] FROM s JOIN nation ON n_nationkey = v
-  UNION ALL SELECT p_partkey, n.n_nationkey, n.n_regionkey, d + 1, list_append(seen, n.n_nationkey) FROM w JOIN nation n ON n.n_nationkey = w.nx AND NOT list_contains(seen, n.n_nationkey))
-SELECT s.p_partkey, count(k) AS n, coalesce(max(d), -1)::BIGINT AS deepest FROM s LEFT JOIN w USING (p_partkey) GROUP BY 1""")
-
-# The same from every customer and every part.
-query("lookup_pipeline_all", "customer", TOP_ORDERS,
+query("lookup_pipeline", "customer", TOP_ORDERS,
       "SELECT c_custkey, least(count(o_orderkey), 2) AS n, max(o_totalprice) AS best FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1")
 
-query("graph_lookup_all", "part", WALK,
+query("graph_lookup", "part", WALK,
       """WITH RECURSIVE s AS (SELECT p_partkey, p_partkey // 2 AS v FROM part),
 w(p_partkey, k, nx, d, seen) AS (
   SELECT p_partkey, n_nationkey, n_regionkey, 0, [n_nationkey] FROM s JOIN nation ON n_nationkey = v
@@ -224,3 +216,117 @@ def insert_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["insert_delete"] = insert_delete
 ORACLES["insert_delete"] = "SELECT * FROM (SELECT r_regionkey, r_name FROM region UNION ALL SELECT n_nationkey, n_name FROM nation) WHERE r_regionkey >= 3"
+
+
+# --- the rest of the expressions -------------------------------------------------------------------
+
+query("logic", "part", [{"$project": {"p_partkey": 1, "both": {"$and": [{"$gt": ["$p_size", 10]}, {"$lt": ["$p_size", 40]}]}, "any": {"$or": [{"$lt": ["$p_size", 5]}, {"$gt": ["$p_retailprice", 1500]}]}, "no": {"$not": [{"$gt": ["$p_size", 25]}]}, "e": {"$round": [{"$exp": {"$divide": ["$p_size", 10]}}, 4]}, "ten": {"$round": [{"$log10": "$p_size"}, 4]}, "two": {"$round": [{"$log": ["$p_size", 2]}, 4]}, "rand": {"$let": {"vars": {"x": {"$rand": {}}}, "in": {"$and": [{"$gte": ["$$x", 0]}, {"$lt": ["$$x", 1]}]}}}}}],
+      "SELECT p_partkey, p_size > 10 AND p_size < 40 AS both, p_size < 5 OR p_retailprice > 1500 AS any, p_size <= 25 AS no, floor(exp(p_size / 10) * 10000 + 0.5) / 10000 AS e, floor(log10(p_size) * 10000 + 0.5) / 10000 AS ten, floor(log2(p_size) * 10000 + 0.5) / 10000 AS two, true AS rand FROM part")
+
+query("strings_more", "customer", [{"$project": {"c_custkey": 1, "sub": {"$substr": ["$c_name", 2, 4]}, "bytes": {"$substrBytes": ["$c_name", 0, 8]}, "len": {"$strLenBytes": "$c_name"}, "at": {"$indexOfBytes": ["$c_name", "#"]}, "first": {"$regexFind": {"input": "$c_name", "regex": "[1-9][0-9]*"}}, "zeros": {"$regexFindAll": {"input": "$c_name", "regex": "0"}}, "order": {"$strcasecmp": ["$c_mktsegment", "furniture"]}, "one": {"$replaceOne": {"input": "$c_name", "find": "0", "replacement": "o"}}, "left": {"$ltrim": {"input": {"$concat": ["  ", "$c_name", " "]}}}, "right": {"$rtrim": {"input": "$c_name", "chars": "0123456789"}}}}, {"$addFields": {"first": "$first.match", "idx": "$first.idx", "zeros": {"$size": "$zeros"}}}],
+      """SELECT c_custkey, substr(c_name, 3, 4) AS sub, substr(c_name, 1, 8) AS bytes, strlen(c_name) AS len, instr(c_name, '#') - 1 AS at, nullif(regexp_extract(c_name, '[1-9][0-9]*'), '') AS first, len(regexp_extract_all(c_name, '0')) AS zeros,
+CASE WHEN lower(c_mktsegment) = 'furniture' THEN 0 WHEN lower(c_mktsegment) < 'furniture' THEN -1 ELSE 1 END::BIGINT AS order, regexp_replace(c_name, '0', 'o') AS one, c_name || ' ' AS left, rtrim(c_name, '0123456789') AS right, instr(c_name, nullif(regexp_extract(c_name, '[1-9][0-9]*'), '')) - 1 AS idx FROM customer""")
+
+query("arrays_more", "embeddings", [{"$project": {"vec_id": 1, "least": {"$toDouble": {"$first": {"$sortArray": {"input": "$embedding", "sortBy": 1}}}}, "most": {"$toDouble": {"$first": {"$sortArray": {"input": "$embedding", "sortBy": -1}}}}, "tail": {"$toDouble": {"$first": {"$reverseArray": "$embedding"}}}, "twice": {"$size": {"$concatArrays": ["$embedding", "$embedding"]}}, "steps": {"$size": {"$range": [0, {"$mod": ["$vec_id", 7]}, 2]}}, "pairs": {"$size": {"$zip": {"inputs": ["$embedding", {"$literal": [1, 2]}]}}}, "place": {"$indexOfArray": ["$embedding", {"$last": "$embedding"}]}, "is": {"$isArray": "$embedding"}, "isnt": {"$isArray": "$label"}, "all": {"$allElementsTrue": "$embedding"}}}],
+      "SELECT vec_id, list_min(embedding)::DOUBLE AS least, list_max(embedding)::DOUBLE AS most, embedding[-1]::DOUBLE AS tail, 2 * len(embedding) AS twice, (vec_id % 7 + 1) // 2 AS steps, 2::BIGINT AS pairs, (list_position(embedding, embedding[-1]) - 1)::BIGINT AS place, true AS is, false AS isnt, len(list_filter(embedding, lambda x: x = 0)) = 0 AS all FROM embeddings")
+
+query("objects", "events", [{"$project": {"event_id": 1, "user_id": 1}}, {"$addFields": {"o.a": "$event_id", "o.b": "$user_id"}}, {"$project": {"event_id": 1, "a": {"$getField": {"field": "a", "input": "$o"}}, "c": {"$getField": {"field": "c", "input": {"$setField": {"field": "c", "input": "$o", "value": "$o.b"}}}}, "k": {"$map": {"input": {"$objectToArray": {"$unsetField": {"field": "b", "input": "$o"}}}, "as": "e", "in": "$$e.k"}}, "last": {"$getField": {"field": "x", "input": {"$arrayToObject": {"$literal": [{"k": "x", "v": 1}, {"k": "x", "v": 2}]}}}}}}, {"$addFields": {"k": {"$first": "$k"}, "n": {"$size": "$k"}}}],
+      "SELECT event_id, event_id AS a, user_id AS c, 'a' AS k, 2::BIGINT AS last, 1::BIGINT AS n FROM events")
+
+_JOINED = {"$reduce": {"input": {"$sortArray": {"input": {"$setUnion": ["$s", "$p"]}, "sortBy": 1}}, "initialValue": "", "in": {"$concat": ["$$value", "|", "$$this"]}}}
+query("sets_more", "orders", [{"$group": {"_id": "$o_custkey", "s": {"$addToSet": "$o_orderstatus"}, "p": {"$addToSet": "$o_orderpriority"}}}, {"$project": {"_id": 1, "all": _JOINED, "rest": {"$size": {"$setDifference": ["$s", {"$literal": ["F"]}]}}, "full": {"$setEquals": ["$s", {"$literal": ["P", "O", "F", "F"]}]}}}],
+      "SELECT o_custkey AS _id, (SELECT '|' || string_agg(v, '|' ORDER BY v) FROM (SELECT unnest(list_distinct(list_concat(s, p))) AS v)) AS all, len(list_filter(s, lambda x: x <> 'F')) AS rest, len(s) = 3 AS full FROM (SELECT o_custkey, list_distinct(list(o_orderstatus)) AS s, list_distinct(list(o_orderpriority)) AS p FROM orders GROUP BY 1)")
+
+query("dates_more", "events", [{"$project": {"event_id": 1, "day": {"$dayOfMonth": "$ts"}, "h": {"$hour": "$ts"}, "mi": {"$minute": "$ts"}, "s": {"$second": "$ts"}, "ms": {"$millisecond": "$ts"}, "week": {"$week": "$ts"}, "iso_year": {"$isoWeekYear": "$ts"}, "iso_day": {"$isoDayOfWeek": "$ts"}, "before": {"$dateToString": {"date": {"$dateSubtract": {"startDate": "$ts", "unit": "hour", "amount": 36}}, "format": "%Y-%m-%dT%H:%M:%S"}}, "parts": {"$dateToParts": {"date": "$ts"}}, "first": {"$dateToString": {"date": {"$dateFromParts": {"year": {"$year": "$ts"}, "month": {"$month": "$ts"}, "day": 1}}, "format": "%Y-%m-%d"}}, "back": {"$dateToString": {"date": {"$dateFromString": {"dateString": {"$dateToString": {"date": "$ts", "format": "%d.%m.%Y"}}, "format": "%d.%m.%Y"}}, "format": "%Y%m%d"}}, "months": {"$dateDiff": {"startDate": {"$toDate": "1990-01-01"}, "endDate": "$ts", "unit": "month"}}}}, {"$addFields": {"parts": "$parts.minute"}}],
+      """SELECT event_id, day(ts) AS day, hour(ts) AS h, minute(ts) AS mi, second(ts) AS s, millisecond(ts) % 1000 AS ms, strftime(ts, '%U')::BIGINT AS week, isoyear(ts) AS iso_year, isodow(ts) AS iso_day, strftime(ts - INTERVAL 36 HOUR, '%Y-%m-%dT%H:%M:%S') AS before, minute(ts) AS parts,
+strftime(date_trunc('month', ts), '%Y-%m-%d') AS first, strftime(ts, '%Y%m%d') AS back, date_sub('month', TIMESTAMP '1990-01-01', ts) AS months FROM events""")
+
+# --- the rest of the stages and filters -----------------------------------------------------------
+
+WORDS = ["small", "ring", "gear"]
+query("match_array_dotted", "part", [{"$addFields": {"o.size": "$p_size", "o.deep.price": "$p_retailprice", "words": {"$split": ["$p_name", " "]}}}, {"$match": {"o.size": {"$gt": 10, "$ne": 20}, "o.deep.price": {"$lt": 1500}, "p_size": {"$in": list(range(1, 45))}, "words": {"$in": WORDS}}}, {"$project": {"p_partkey": 1, "o.size": 1}}, {"$project": {"p_partkey": 1, "size": "$o.size"}}],
+      f"SELECT p_partkey, p_size AS size FROM part WHERE p_size > 10 AND p_size <> 20 AND p_retailprice < 1500 AND p_size < 45 AND list_has_any(string_split(p_name, ' '), {WORDS})")
+
+query("lookup_array", "nation", [{"$project": {"n_nationkey": 1, "keys": {"$range": [0, {"$mod": ["$n_nationkey", 7]}]}}}, {"$lookup": {"from": "region", "localField": "keys", "foreignField": "r_regionkey", "as": "r"}}, {"$project": {"n_nationkey": 1, "n": {"$size": "$r"}, "names": {"$reduce": {"input": "$r", "initialValue": "", "in": {"$concat": ["$$value", "$$this.r_name", ";"]}}}}}],
+      "SELECT n_nationkey, count(r_regionkey) AS n, coalesce(string_agg(r_name || ';', '' ORDER BY r_regionkey), '') AS names FROM nation LEFT JOIN region ON r_regionkey < n_nationkey % 7 GROUP BY 1")
+
+query("replace_with", "orders", [{"$project": {"o_orderkey": 1, "o_orderstatus": 1}}, {"$replaceWith": {"$mergeObjects": ["$$ROOT", {"o_orderstatus": "none", "n": 1}]}}],
+      "SELECT o_orderkey, 'none' AS o_orderstatus, 1::BIGINT AS n FROM orders")
+
+for _name, _kind, _score in (
+    ("vector_search_dot", "dotProduct", "list_sum(list_transform(list_zip(embedding, q), lambda p: p[1]::DOUBLE * p[2]))"),
+    ("vector_search_euclidean", "euclidean", "1 / (1 + sqrt(list_sum(list_transform(list_zip(embedding, q), lambda p: (p[1]::DOUBLE - p[2]) * (p[1]::DOUBLE - p[2])))))"),
+):
+    query(_name, "embeddings", [{"$vectorSearch": {"path": "embedding", "queryVector": QUERY_VECTOR, "limit": 12, "similarity": _kind}}, {"$project": {"vec_id": 1, "score": {"$round": [{"$meta": "vectorSearchScore"}, 6]}}}],
+          f"SELECT vec_id, sign(s) * floor(abs(s) * 1000000 + 0.5) / 1000000 AS score FROM (SELECT vec_id, {_score} AS s FROM (SELECT *, {QUERY_VECTOR}::DOUBLE[] AS q FROM embeddings)) ORDER BY s DESC, vec_id LIMIT 12")
+
+
+# --- writes, catalogue, streams ---------------------------------------------------------------------
+
+
+def update_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replacement, $unset, $addToSet, $push on a scalar, first match only and an upsert."""
+    c = Tables(spark, sf_dir).collection("nation")
+    c.update({"n_nationkey": 0}, {"n_nationkey": 0, "n_name": "ZERO"})
+    c.update({"n_nationkey": {"$in": [1, 2]}}, {"$unset": {"n_name": ""}}, multi=True)
+    for tag in ("a", "b", "a"):
+        c.update({"n_regionkey": 3}, {"$addToSet": {"tags": tag}}, multi=True)
+    c.update({"n_regionkey": 2}, {"$set": {"n_name": "FIRST"}})
+    c.update({"n_nationkey": 900, "n_name": "NEW"}, {"$inc": {"n_regionkey": 7}, "$push": {"tags": "x"}}, upsert=True)
+    return c.aggregate([{"$project": {"n_nationkey": 1, "n_name": 1, "n_regionkey": 1, "n": {"$size": "$tags"}}}])
+
+
+QUERIES["update_kinds"] = update_kinds
+ORACLES["update_kinds"] = """
+SELECT n_nationkey, CASE WHEN n_nationkey = 0 THEN 'ZERO' WHEN n_nationkey = (SELECT min(n_nationkey) FROM nation WHERE n_regionkey = 2 AND n_nationkey <> 0) THEN 'FIRST' WHEN n_nationkey IN (1, 2) THEN NULL ELSE n_name END AS n_name,
+       CASE WHEN n_nationkey <> 0 THEN n_regionkey END::BIGINT AS n_regionkey, CASE WHEN n_regionkey = 3 AND n_nationkey <> 0 THEN 2 ELSE 0 END::BIGINT AS n
+FROM nation UNION ALL SELECT 900, 'NEW', 7, 1
+"""
+
+
+def raises(kind: type[Exception], f, *args) -> int:
+    try:
+        f(*args)
+    except kind:
+        return 1
+    return 0
+
+
+def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Databases, collections, statistics, indexes and what is refused: (what, n)."""
+    tables = Tables(spark, sf_dir)
+    engine = Engine(spark)
+    c = engine.register("shop.nation", tables.frame("nation"), "n_nationkey")
+    engine.register("shop.region", tables.frame("region"))
+    engine.create("other.new")
+    name = c.create_index(["n_nationkey"], unique=True)
+    out = [("databases", len(engine.list_databases())), ("collections", len(engine.list_collections("shop"))), ("count", c.stats()["count"]), ("objects", engine.stats("shop")["objects"]), ("indexes", len(c.list_indexes()))]
+    out += [("duplicates refused", raises(DuplicateKey, c.create_index, ["n_regionkey"]) + raises(DuplicateKey, lambda: c.create_index(["n_regionkey"], unique=True)) + raises(DuplicateKey, c.insert, [{"n_nationkey": 3}]))]
+    c.drop_index(name)
+    c.insert([{"n_nationkey": 3}])
+    out += [("after insert", c.count({"n_nationkey": 3})), ("dropped", int(engine.drop("other.new")) + engine.drop_database("shop")), ("left", len(engine.list_collections()))]
+    part = tables.collection("part")
+    wrong = [{"$match": {"p_size": {"$regex": "x"}}}, {"$out": "x"}, {"$group": {"_id": None, "x": {"$stdDevPop": "$p_size"}}}, {"$project": {"x": {"$toHashedIndexKey": 1}}}]
+    out += [("refused", sum(raises(UnsupportedOperator, part.aggregate, [w]) for w in wrong) + raises(UnsupportedOperator, part.update, {}, {"$rename": {"p_name": "n"}}))]
+    return spark.createDataFrame(out, "what string, n long")
+
+
+QUERIES["catalogue"] = catalogue
+ORACLES["catalogue"] = """
+SELECT * FROM (VALUES ('databases', 2::BIGINT), ('collections', 2), ('indexes', 1), ('duplicates refused', 2), ('dropped', 3), ('left', 0), ('refused', 5))  t(what, n)
+UNION ALL SELECT 'count', count(*) FROM nation UNION ALL SELECT 'objects', (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) UNION ALL SELECT 'after insert', count(*) + 1 FROM nation WHERE n_nationkey = 3
+"""
+
+
+def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stateless stages over ``readStream``, run to the end of what there is."""
+    schema = spark.read.parquet(f"{sf_dir}/orders.parquet").schema
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(sf_dir)
+    out = compile_stream(rows, [{"$match": {"o_totalprice": {"$gt": 150000}}}, {"$addFields": {"year": {"$year": "$o_orderdate"}, "tags": {"$split": ["$o_orderpriority", "-"]}}}, {"$unwind": "$tags"}, {"$project": {"o_orderkey": 1, "year": 1, "tags": 1}}])
+    target = new_path(spark, "stream")
+    out.writeStream.format("parquet").option("checkpointLocation", f"{target}-checkpoint").trigger(availableNow=True).start(target).awaitTermination()
+    return spark.read.schema(out.schema).parquet(target)
+
+
+QUERIES["stream"] = stream
+ORACLES["stream"] = "SELECT o_orderkey, year(o_orderdate) AS year, unnest(string_split(o_orderpriority, '-')) AS tags FROM orders WHERE o_totalprice > 150000"

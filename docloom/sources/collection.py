@@ -85,6 +85,11 @@ class Engine:
     def list_collections(self, db: str | None = None) -> list[str]:
         return sorted(n for n in self.tables if db is None or n.startswith(f"{db}."))
 
+    def stats(self, db: str) -> dict:
+        """Collections of a database, their rows and the bytes of these as JSON."""
+        each = [self.collection(n).stats() for n in self.list_collections(db)]
+        return {"db": db, "collections": len(each), "objects": sum(s["count"] for s in each), "dataSize": sum(s["size"] for s in each)}
+
     def list_databases(self) -> list[str]:
         return sorted({n.split(".")[0] for n in self.tables if "." in n})
 

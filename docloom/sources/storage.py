@@ -28,8 +28,13 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + own
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_dir(spark)}/docloom/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Written to the shared folder and read back, so that plans do not grow and lost executors cost nothing."""
-    path = f"{shared_dir(df.sparkSession)}/docloom/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
