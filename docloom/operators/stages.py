@@ -479,12 +479,12 @@ def row_id(df: DataFrame) -> DataFrame:
 
 
 def renamed(df: DataFrame) -> DataFrame:
-    return df.select(*(q(c).alias(f"~~f_{c}") for c in df.columns if not c.startswith(V.HIDDEN)), (F.col(ORD) if ORD in df.columns else F.monotonically_increasing_id()).alias("~~f__ord"))
+    return df.select(*(q(c).alias(f"~~f_{c}") for c in df.columns if not c.startswith(V.HIDDEN)), (F.col(ORD) if ORD in df.columns else F.monotonically_increasing_id()).alias("~~order_there"))
 
 
 @stage("$lookup")
 def lookup(frame: Frame, spec) -> Frame:
-    """Equality by value for numbers, else by text; null meets null; an array on either side meets by any element. One join and one regrouping by row."""
+    """Equality by value for numbers, else by text; null meets null; an array on either side meets by any element. Of plain fields the foreign side is grouped by key and joined once; with arrays there is one join and one regrouping by row."""
     out = spec["as"]
     if "pipeline" in spec:
         return lookup_pipeline(frame, spec)
@@ -500,6 +500,15 @@ def lookup(frame: Frame, spec) -> Frame:
     def exploded(df: DataFrame, v: Value, name: str, outer: bool) -> DataFrame:
         return df.select("*", (F.explode_outer if outer else F.explode)(F.array_distinct(side(v))).alias(name)) if v.is_array else df.withColumn(name, side(v))
 
+    item = F.struct(*(q(f"~~f_{f.name}").alias(f.name) for f in schema.fields))
+    keep = [c for c in frame.df.columns if c != out]
+    if not local.is_array and not there.is_array:
+        # a list for each key of the other side, then one join: every left row moves once
+        entry = F.struct(F.col("~~order_there").alias("o"), F.struct(item.alias("d")).alias("w"))
+        lists = right.groupBy(side(there).alias("~~g")).agg(F.sort_array(F.collect_list(entry)).alias("~~list"))
+        found = F.transform(F.coalesce("~~list", F.array().cast(lists.schema["~~list"].dataType)), lambda e: e["w"]["d"])
+        joined = frame.df.join(lists, side(local).eqNullSafe(F.col("~~g")), "left")
+        return frame.with_df(joined.select(*(q(c) for c in keep), found.alias(out)))
     left = row_id(frame.df)
     missing = local.col.isNull() if local.is_array else F.lit(False)
     tagged = exploded(left.withColumn("~~none", missing | (F.size(local.col) == 0 if local.is_array else F.lit(False))), local, "~~k", True)
@@ -507,9 +516,7 @@ def lookup(frame: Frame, spec) -> Frame:
     if local.is_array:  # no element is not a null element
         met = met & ~F.col("~~none")
     pairs = tagged.join(exploded(right, there, "~~g", False), met, "left")
-    keep = [c for c in frame.df.columns if c != out]
-    item = F.struct(*(q(f"~~f_{f.name}").alias(f.name) for f in schema.fields))
-    hit = F.when(F.col("~~f__ord").isNotNull(), F.struct(F.col("~~f__ord").alias("o"), F.struct(item.alias("d")).alias("w")))
+    hit = F.when(F.col("~~order_there").isNotNull(), F.struct(F.col("~~order_there").alias("o"), F.struct(item.alias("d")).alias("w")))
     rows = pairs.groupBy(RID).agg(F.first(F.struct(*(q(c) for c in keep))).alias("~~row"), F.sort_array(F.collect_list(hit)).alias("~~list"))
     found = F.array_distinct("~~list") if local.is_array or there.is_array else F.col("~~list")
     return frame.with_df(rows.select(*(F.col("~~row").getField(c).alias(c) for c in keep), F.transform(found, lambda e: e["w"]["d"]).alias(out)))
@@ -532,8 +539,8 @@ def joined_lookup(frame: Frame, spec, keep: bool) -> Frame:
     item = F.struct(*(q(f"~~f_{f.name}").alias(f.name) for f in schema.fields))
     joined = frame.df.join(right, mine.eqNullSafe(theirs), "left" if keep else "inner")
     rest = [c for c in frame.df.columns if c not in (spec["as"], ORD)]
-    order = [F.struct(F.col(ORD).alias("o"), F.col("~~f__ord").alias("p")).alias(ORD)] if frame.ordered else []
-    return frame.with_df(joined.select(*order, *(q(c) for c in rest), F.when(F.col("~~f__ord").isNotNull(), item).alias(spec["as"])))
+    order = [F.struct(F.col(ORD).alias("o"), F.col("~~order_there").alias("p")).alias(ORD)] if frame.ordered else []
+    return frame.with_df(joined.select(*order, *(q(c) for c in rest), F.when(F.col("~~order_there").isNotNull(), item).alias(spec["as"])))
 
 
 def plain_lookup(frame: Frame, spec) -> bool:
@@ -614,7 +621,7 @@ def graph_lookup(frame: Frame, spec) -> Frame:
     start = compile_expr(spec["startWith"], frame.scope())
     frontier = left.select(RID, F.explode(values(start)).alias("~~value")).where(F.col("~~value").isNotNull()).distinct()
     frontier = stored(frontier.withColumn("~~depth", F.lit(0).cast("long")), "graph")
-    seen, found, depth = frontier.select(RID, "~~value"), [], 0
+    seen, found, depth = frontier.select(RID, "~~value"), [], 0  # grows by one scan a round
     most = spec.get("maxDepth")
     while True:
         step = stored(frontier.join(edges, F.col("~~value") == F.col("~~g")).drop("~~g"), "graph")
@@ -626,12 +633,12 @@ def graph_lookup(frame: Frame, spec) -> Frame:
         frontier = stored(new.withColumn("~~depth", F.lit(depth).cast("long")), "graph")
         if frontier.isEmpty():
             break
-        seen = stored(seen.unionByName(frontier.select(RID, "~~value")), "graph")
+        seen = seen.unionByName(frontier.select(RID, "~~value"))
     rows = reduce(DataFrame.unionByName, found)
-    best = rows.groupBy(RID, "~~f__ord").agg(F.min("~~depth").alias("~~depth"), *(F.first(f"~~f_{f.name}").alias(f"~~f_{f.name}") for f in schema.fields))
+    best = rows.groupBy(RID, "~~order_there").agg(F.min("~~depth").alias("~~depth"), *(F.first(f"~~f_{f.name}").alias(f"~~f_{f.name}") for f in schema.fields))
     item = F.struct(*(q(f"~~f_{f.name}").alias(f.name) for f in schema.fields), *([F.col("~~depth").alias(depth_name)] if depth_name else []))
     kind = T.StructType([*schema.fields, *([T.StructField(depth_name, LONG)] if depth_name else [])])
-    lists = best.groupBy(RID).agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col("~~depth").alias("d"), F.col("~~f__ord").alias("o"), F.struct(item.alias("x")).alias("w")))), lambda e: e["w"]["x"]).alias("~~list"))
+    lists = best.groupBy(RID).agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col("~~depth").alias("d"), F.col("~~order_there").alias("o"), F.struct(item.alias("x")).alias("w")))), lambda e: e["w"]["x"]).alias("~~list"))
     keep = [c for c in frame.df.columns if c != spec["as"]]
     joined = left.join(lists, RID, "left")
     return frame.with_df(joined.select(*(q(c) for c in keep), F.coalesce(F.col("~~list"), F.array().cast(T.ArrayType(kind))).alias(spec["as"])))

@@ -1,7 +1,8 @@
 """The document engine: databases of collections with find, count, aggregate, insert, update and delete.
 
-A collection is a Parquet snapshot. Writes make a new snapshot in the shared
-folder and swap it in; reads of a plan made before keep the old one.
+A collection is a Parquet snapshot and what was inserted since. Updates and
+deletes make a new snapshot in the shared folder and swap it in, inserts write
+their own rows only; reads of a plan made before keep the old rows.
 """
 
 from __future__ import annotations
@@ -23,6 +24,10 @@ from docloom.plans.compiler import compile_pipeline
 from docloom.sources.storage import stored
 
 
+#: Inserts after which a collection is written as one again.
+MOST_PARTS = 32
+
+
 class DuplicateKey(ValueError):
     """A unique index would hold a key twice."""
 
@@ -42,6 +47,8 @@ class Engine:
     tables: dict[str, DataFrame] = field(default_factory=dict)
     keys: dict[str, str | None] = field(default_factory=dict)
     indexes: dict[str, dict[str, list[str]]] = field(default_factory=dict)
+    #: Sets of files of a collection: its snapshot and what was added since.
+    parts: dict[str, int] = field(default_factory=dict)
 
     def register(self, name: str, df: DataFrame, key: str | None = None) -> Collection:
         self.tables[name], self.keys[name] = df, key if key or "_id" not in df.columns else "_id"
@@ -74,6 +81,7 @@ class Engine:
     def drop(self, name: str) -> bool:
         self.indexes.pop(name, None)
         self.keys.pop(name, None)
+        self.parts.pop(name, None)
         return self.tables.pop(name, None) is not None
 
     def drop_database(self, db: str) -> int:
@@ -176,31 +184,57 @@ class Collection:
     def drop_index(self, name: str) -> None:
         self.engine.indexes.get(self.name, {}).pop(name, None)
 
-    def _check(self, df: DataFrame, indexes: dict[str, list[str]]) -> None:
-        """Raises where two rows share a key; arrays count by element, rows that lack a field do not count."""
+    def _keys(self, df: DataFrame, fields: list[str]) -> DataFrame | None:
+        """(~~row, ~~k0, ...) of an index as text; arrays count by element, rows that lack a field do not count."""
+        if any(f not in df.columns for f in fields):
+            return None
+        rows = df.withColumn("~~row", F.monotonically_increasing_id())
+        kinds = {f.name: f.dataType for f in df.schema.fields}
+        for k, f in enumerate(fields):
+            col = F.col(f"`{f}`")
+            rows = rows.withColumn(f"~~k{k}", F.explode(F.array_distinct(col)) if isinstance(kinds[f], T.ArrayType) else col)
+        ks = [f"~~k{k}" for k in range(len(fields))]
+        rows = rows.dropna(subset=ks)
+        return rows.select("~~row", *(V.text(Value(F.col(k), rows.schema[k].dataType)).alias(k) for k in ks))
+
+    def _check(self, df: DataFrame, indexes: dict[str, list[str]], held: DataFrame | None = None) -> None:
+        """Raises where two rows of ``df`` share a key, or one shares it with a row of ``held``."""
         for name, fields in indexes.items():
-            rows = df.withColumn("~~row", F.monotonically_increasing_id())
-            if any(f not in df.columns for f in fields):
+            mine = self._keys(df, fields)
+            if mine is None:
                 continue
-            kinds = {f.name: f.dataType for f in df.schema.fields}
-            for k, f in enumerate(fields):
-                col = F.col(f"`{f}`")
-                rows = rows.withColumn(f"~~k{k}", F.explode(F.array_distinct(col)) if isinstance(kinds[f], T.ArrayType) else col)
             ks = [f"~~k{k}" for k in range(len(fields))]
-            rows = rows.dropna(subset=ks)
-            twice = rows.groupBy(*(V.text(Value(F.col(k), rows.schema[k].dataType)).alias(k) for k in ks)).agg(F.count_distinct("~~row").alias("n")).where("n > 1")
-            if not twice.isEmpty():
+            twice = mine.groupBy(*ks).agg(F.count_distinct("~~row").alias("n")).where("n > 1")
+            theirs = self._keys(held, fields) if held is not None else None
+            if not twice.isEmpty() or (theirs is not None and not theirs.select(*ks).join(mine.select(*ks).distinct(), ks, "left_semi").isEmpty()):
                 raise DuplicateKey(f"index {name} of {self.name}")
 
     # --- writes
 
+    def _unique(self, df: DataFrame) -> dict[str, list[str]]:
+        return {**self.list_indexes(), **({"_id_": ["_id"]} if "_id" in df.columns else {})}
+
     def _swap(self, df: DataFrame) -> None:
-        indexes = self.list_indexes()
-        if "_id" in df.columns:
-            indexes["_id_"] = ["_id"]
+        """The collection becomes ``df``."""
         snapshot = stored(df, f"snapshot-{self.name.replace('.', '-')}")
-        self._check(snapshot, indexes)
-        self.engine.tables[self.name] = snapshot
+        self._check(snapshot, self._unique(df))
+        self._set(snapshot, 1)
+
+    def _append(self, new: DataFrame) -> None:
+        """Only the new rows are written and held against the keys that are there; every ``MOST_PARTS`` times all rows are written together."""
+        if not self.engine.has(self.name):
+            return self._swap(new)
+        old, part = self.df, stored(new, f"part-{self.name.replace('.', '-')}")
+        self._check(part, self._unique(part), old)
+        parts = self.engine.parts.get(self.name, 1) + 1
+        both = aligned(old, part)
+        if parts > MOST_PARTS:
+            both, parts = stored(both, f"snapshot-{self.name.replace('.', '-')}"), 1
+        self._set(both, parts)
+
+    def _set(self, df: DataFrame, parts: int) -> None:
+        self.engine.tables[self.name] = df
+        self.engine.parts[self.name] = parts
         self.engine.keys.setdefault(self.name, "_id" if "_id" in df.columns else None)
 
     def insert(self, docs: list[dict]) -> list:
@@ -209,12 +243,12 @@ class Collection:
         if not docs:
             return []
         new = frame_of(self.engine.spark, docs)
-        self._swap(aligned(self.df, new) if self.engine.has(self.name) else new)
+        self._append(new)
         return [d["_id"] for d in docs]
 
     def insert_frame(self, df: DataFrame) -> None:
         """Adds the rows of a data frame, without passing the driver."""
-        self._swap(aligned(self.df, df) if self.engine.has(self.name) else df)
+        self._append(df)
 
     def _hits(self, filter: dict, first_only: bool) -> DataFrame:
         """All rows with ``~~hit``; of the first match only, by the collection's key."""

@@ -70,3 +70,18 @@ def test_upsert_replace_delete(engine):
     c.insert([{"_id": "8", "age": 99}])
     assert c.delete({"age": 99}, limit=1) == 1 and c.count({"age": 99}) == 1
     assert c.delete({"age": 99}) == 1 and c.delete({"age": 99}) == 0
+
+
+def test_inserts_append_and_are_held_against_all_keys(spark, monkeypatch):
+    from docloom.sources import collection
+
+    monkeypatch.setattr(collection, "MOST_PARTS", 3)
+    c = collection.Engine(spark).collection("grows")
+    for k in range(5):
+        c.insert([{"_id": k, "tags": [f"a{k}", f"b{k}"]}])
+    c.create_index(["tags"], unique=True)
+    for docs in ([{"_id": 2}], [{"_id": 9, "tags": ["b3"]}], [{"_id": 7}, {"_id": 7}]):
+        with pytest.raises(collection.DuplicateKey):
+            c.insert(docs)
+    c.insert([{"_id": 8, "extra": 1.5}])
+    assert c.engine.parts["grows"] <= 3 and sorted((r._id, r.extra) for r in c.find().collect()) == [(0, None), (1, None), (2, None), (3, None), (4, None), (8, 1.5)]
