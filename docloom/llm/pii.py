@@ -142,10 +142,11 @@ def salt(key: str) -> Column:
 
 
 def disclosures(texts: DataFrame, docs: DataFrame, *, generalise: float, remove: float, support: int, evidence: float) -> tuple[DataFrame, DataFrame]:
-    """(text_key, term, entity) of the entities met in ``support`` texts, and (entity, term, disclosure, kind) of the terms that disclose them."""
+    """(text_key, term, entity) of the entities met in ``support`` texts, and (entity, term, kind) of the terms that disclose them."""
     held = texts.select("text_key", "n", F.explode("entities").alias("entity"))
     entities = stored(held.groupBy("entity").agg(F.sum("n").alias("n_e"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support).select("entity", "n_e"), "pii-entities")
-    shared = held.select("*", salt("text_key")).join(spread(entities), ["entity", "salt"]).groupBy("text_key").agg(F.collect_list("entity").alias("entities"))
+    # stored, as ``own`` below, so that the join knows its size: the masked texts are dealt by key only where it is large
+    shared = stored(held.select("*", salt("text_key")).join(spread(entities), ["entity", "salt"]).groupBy("text_key").agg(F.collect_list("entity").alias("entities")), "pii-shared")
     words = texts.select("text_key", "n", "mask").join(shared, "text_key").select("text_key", "n", "entities", F.explode(terms_of(F.col("mask"))).alias("term"))
     met = stored(words, "pii-met").select("text_key", "n", "term", F.explode("entities").alias("entity"))
     pairs = met.groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support)
@@ -158,7 +159,7 @@ def disclosures(texts: DataFrame, docs: DataFrame, *, generalise: float, remove:
     known = pairs.select("*", salt("term")).join(spread(entities), ["entity", "salt"]).join(df, "term").withColumn("pmi", pmi)
     known = known.where(F.col("n_et") * F.col("pmi") >= evidence).withColumn("disclosure", F.when(ic > 0, F.col("pmi") / ic).otherwise(F.lit(0.0)))
     told = known.where(F.col("disclosure") >= generalise).select("entity", "term", "disclosure", F.when(F.col("disclosure") >= remove, F.lit(5)).otherwise(F.lit(4)).alias("kind"))
-    return met, stored(told, "pii-told")
+    return met, stored(told.drop("disclosure"), "pii-told")
 
 
 def term_spans(base: DataFrame, docs: DataFrame, **limits) -> DataFrame:
@@ -172,13 +173,14 @@ def term_spans(base: DataFrame, docs: DataFrame, **limits) -> DataFrame:
     wherever in them entity and term stand. A term must be met with its entity in
     ``support`` different texts, and n(e,t) PMI, what speaks against chance, must
     reach ``evidence`` nats. Counts are summed map-side, the rows of one entity
-    are dealt over SALTS parts, and nothing is collected or broadcast by hand.
+    are dealt over SALTS parts where entities are joined, and nothing is collected or broadcast by hand.
     """
     dirty = base.where(F.size("spans") > 0)
     texts = stored(dirty.groupBy("text_key").agg(F.count(F.lit(1)).alias("n"), F.first("entities").alias("entities"), F.first("mask").alias("mask")), "pii-texts")
     met, told = disclosures(texts, docs, **limits)
-    own = met.select("*", salt("text_key")).join(spread(told), ["entity", "term", "salt"]).groupBy("text_key", "term").agg(F.max("kind").alias("kind"))
-    own = own.groupBy("text_key").agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("told"))
+    # told is small beside met and stored: broadcast where its size allows, else joined with skew split at run time
+    own = met.join(told, ["entity", "term"]).groupBy("text_key", "term").agg(F.max("kind").alias("kind"))
+    own = stored(own.groupBy("text_key").agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("told")), "pii-own")
     hits = texts.select("text_key", "mask").join(own, "text_key").select("text_key", found_at(F.col("mask"), F.col("told")).alias("terms"))
     return dirty.select("row_key", "text_key").distinct().join(hits, "text_key").select("row_key", "terms")
 
