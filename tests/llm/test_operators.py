@@ -6,7 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
-from helpers import DOC, WORDS, corpus, linked, prose, words
+from helpers import DOC, corpus, linked, prose, words
 
 from docloom.llm import kneser_ney, mixing, near_dup, packing, pii, quality_rules, tokens, topk, toxicity, warc
 from docloom.llm.common import on_workers
@@ -581,7 +581,3 @@ def test_thresholds_follow_the_group(spark):
     texts = [prose(80, k) for k in range(90)] + [" ".join(w + "$$$" for w in prose(80, 5).split())]
     kept = {r.doc_id: r.kept for r in quality_rules.judge(corpus(spark, texts, extra=False), least_rows=10).collect()}
     assert all(kept[k] for k in range(90)) and not kept[90]
-
-
-def test_words_are_plain():
-    assert len(WORDS) == len(set(WORDS))
