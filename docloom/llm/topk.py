@@ -182,7 +182,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, *, shard_rows: int =
 
 
 def quantised(rows: DataFrame) -> DataFrame:
-    """vec_id and floor(256 x) of each component; vectors that are null or hold null or non-finite components go."""
+    """vec_id and floor(256 x) of each component.
+
+    Vectors that are null or empty, hold null or non-finite components, or have a
+    null vec_id take no part. A component whose 256-fold leaves the range of a
+    long is held at its end. Rows that repeat stay (``search`` counts a vec_id
+    once). An empty table gives an empty result. Other columns, whatever their
+    names, are not read.
+    """
     x = F.col("embedding").cast("array<double>")
     good = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     return rows.where(F.coalesce(good, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(v * 256).cast("double")).alias("embedding"))
