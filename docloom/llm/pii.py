@@ -141,6 +141,26 @@ def salt(key: str) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int").alias("salt")
 
 
+#: Bits of the filter that pairs pass before they are dealt: at most BITS / 64 rows of two longs (4 MB) go to every task, however many terms are told. Beyond some BITS told terms it lets all pass, and only the saving is gone.
+BITS = 1 << 24
+
+
+def marked_pairs(told: DataFrame) -> DataFrame:
+    """A bit for each hash of (entity, term), by words of 64 bits."""
+    at = told.select(F.pmod(F.xxhash64("entity", "term"), F.lit(BITS)).alias("h"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("h") % 64).cast("int"))
+    return at.groupBy(F.floor(F.col("h") / 64).cast("long").alias("at")).agg(F.bit_or(bit).alias("bits"))
+
+
+def likely_told(pairs: DataFrame, told: DataFrame) -> DataFrame:
+    """Those rows of ``pairs`` (entity, term) that may be in ``told``: all that are, and of others the share of bits set."""
+    h = F.pmod(F.xxhash64("entity", "term"), F.lit(BITS))
+    hashed = pairs.withColumn("h", h).withColumn("at", F.floor(F.col("h") / 64).cast("long"))
+    bit = F.call_function("shiftright", F.col("bits"), (F.col("h") % 64).cast("int")).bitwiseAND(F.lit(1).cast("long"))
+    # BITS / 64 rows at most
+    return hashed.join(F.broadcast(marked_pairs(told)), "at").where(bit == 1).drop("h", "at", "bits")
+
+
 def disclosures(texts: DataFrame, docs: DataFrame, *, generalise: float, remove: float, support: int, evidence: float) -> tuple[DataFrame, DataFrame]:
     """(text_key, term, entity) of the entities met in ``support`` texts, and (entity, term, kind) of the terms that disclose them."""
     held = texts.select("text_key", "n", F.explode("entities").alias("entity"))
@@ -173,13 +193,14 @@ def term_spans(base: DataFrame, docs: DataFrame, **limits) -> DataFrame:
     wherever in them entity and term stand. A term must be met with its entity in
     ``support`` different texts, and n(e,t) PMI, what speaks against chance, must
     reach ``evidence`` nats. Counts are summed map-side, the rows of one entity
-    are dealt over SALTS parts where entities are joined, and nothing is collected or broadcast by hand.
+    are dealt over SALTS parts where entities are joined. Nothing is collected;
+    broadcast by hand is only a bit filter of fixed size (BITS).
     """
     dirty = base.where(F.size("spans") > 0)
     texts = stored(dirty.groupBy("text_key").agg(F.count(F.lit(1)).alias("n"), F.first("entities").alias("entities"), F.first("mask").alias("mask")), "pii-texts")
     met, told = disclosures(texts, docs, **limits)
-    # told is small beside met and stored: broadcast where its size allows, else joined with skew split at run time
-    own = met.join(told, ["entity", "term"]).groupBy("text_key", "term").agg(F.max("kind").alias("kind"))
+    # few of the pairs met are told: the filter keeps most of the others out of the shuffle
+    own = likely_told(met.select("text_key", "term", "entity"), told).join(told, ["entity", "term"]).groupBy("text_key", "term").agg(F.max("kind").alias("kind"))
     own = stored(own.groupBy("text_key").agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("told")), "pii-own")
     hits = texts.select("text_key", "mask").join(own, "text_key").select("text_key", found_at(F.col("mask"), F.col("told")).alias("terms"))
     return dirty.select("row_key", "text_key").distinct().join(hits, "text_key").select("row_key", "terms")

@@ -179,6 +179,17 @@ def test_disclosure_is_that_of_the_counts(spark):
     assert {t: s for t, s in got.items() if s} == want and len(want) > 20 and {s.split(":")[0] for x in want.values() for s in x} == {"remove", "generalise"}
 
 
+@pytest.mark.parametrize("bits", [64, 1 << 12, pii.BITS])
+def test_filter_keeps_all_told_pairs(spark, monkeypatch, bits):
+    monkeypatch.setattr(pii, "BITS", bits)
+    every = [(f"e{k % 7}" if k % 11 else None, f"word{k}") for k in range(3000)]
+    pairs, told = (spark.createDataFrame(rows, "entity string, term string") for rows in (every + every[:50], every[::60]))
+    got = [tuple(r) for r in pii.likely_told(pairs, told).select("entity", "term").collect()]
+    assert all(got.count(p) == (2 if p in every[:50] else 1) for p in every[::60])
+    assert bits < 100 or len(got) < 200
+    assert pii.likely_told(pairs, told.limit(0)).count() == 0
+
+
 def test_terms_far_from_their_entity_are_taken_out_everywhere(spark):
     far = [prose(90, 300 + k) for k in range(4)]
     texts = [f"Zebrafish {far[0]} é😀 m@x.org, +4785380592391139 {far[1]} (zebrafish) end", f"{far[2]} m@x.org {far[3]} ZEBRAFISH a ZEBRAFISHm@x.org"] + [f"a end {far[k % 4]} {prose(90, 500 + k)}" for k in range(60)]
