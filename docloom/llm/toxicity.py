@@ -281,7 +281,8 @@ def learn(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 6000, terms:
             continue
         if gains[t] > 1.3 * max((g for w, g in words.items() if w.startswith(bare)), default=0.0):
             keep[t] = gains[t]
-    chosen = {t: g for t, g in words.items() if not any(t.startswith(k[:-1]) for k in keep)} | keep
+    # a word stays beside its stem, for it allows edits within the stem that a short stem does not
+    chosen = words | keep
     top = max(chosen.values(), default=1.0)
     weights = {t: float(0.5 + 0.5 * g / top) for t, g in chosen.items()}
     bare_lexicon = (tuple(sorted(weights.items())), ())
