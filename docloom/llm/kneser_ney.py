@@ -16,7 +16,7 @@ from docloom.llm.common import ceil_div, free_names, opened, stored, text_of, wo
 ORDER = 5
 START = "\x02"
 #: Characters scored at a time.
-WINDOW = 1 << 20
+WINDOW = 1 << 19
 #: Split of trusted texts: rows whose crc32(doc_id) leaves 0 set the quantiles, the rest train.
 FOLDS = 4
 SHARD_ROWS = 4_000_000
@@ -183,16 +183,15 @@ class Shards:
 
     def values(self, keys: np.ndarray) -> np.ndarray:
         """Value of each key, nan for unknown ones."""
-        codes, unique = pd.factorize(keys, sort=False)
+        unique, codes = np.unique(keys, return_inverse=True)  # ascending keys meet a sorted shard in one sweep
         found = np.full(len(unique), np.nan, np.float32)
         for path, lo, hi, _ in self.files:
-            mine = np.flatnonzero((unique >= lo) & (unique <= hi))
-            if len(mine):
+            a, b = np.searchsorted(unique, lo), np.searchsorted(unique, hi, side="right")
+            if a < b:
                 known, value = self.load(path)
-                at = np.minimum(np.searchsorted(known, unique[mine]), len(known) - 1)
-                hit = known[at] == unique[mine]
-                found[mine[hit]] = value[at[hit]]
-        return found[codes] if len(codes) else np.zeros(0, np.float32)
+                at = np.minimum(np.searchsorted(known, unique[a:b]), len(known) - 1)
+                found[a:b] = np.where(known[at] == unique[a:b], value[at], found[a:b])
+        return found[codes]
 
 
 @lru_cache(maxsize=1)
@@ -222,24 +221,30 @@ def text_scores(texts: list[str], seeds: np.ndarray, model: Shards) -> tuple[np.
                 prev = np.zeros(len(mine), np.uint64)
                 prev[1:] = rolled[n - 1][:-1]
                 rolled.append(prev * BASE + mine + np.uint64(1))
-        score = np.zeros(len(mine), np.float32)
-        open_ = np.flatnonzero((place > 1) & (own >= a) & (sizes[doc] > 3))
-        scored = open_
+        scored = np.flatnonzero((place > 1) & (own >= a) & (sizes[doc] > 3))
+        # a character's score is that of its language and the characters up to it, ORDER at most: each such run is looked up once
+        run = rolled[ORDER][scored]
+        for n in range(1, ORDER):
+            early = place[scored] == n - 1
+            run[early] = rolled[n][scored[early]]
+        codes, runs = pd.factorize(run ^ seed[scored])
+        at = np.empty(len(runs), np.int64)
+        at[codes] = scored  # any one place of each run
+        score = np.zeros(len(runs), np.float32)
+        open_ = np.arange(len(runs))
         for n in range(ORDER, -1, -1):
-            use = open_[place[open_] >= n - 1] if n else open_
+            use = open_[place[at[open_]] >= n - 1] if n else open_
             if len(use):
-                got = model.values(finish(rolled[n][use], n, seed[use], 0))
+                got = model.values(finish(rolled[n][at[use]], n, seed[at[use]], 0))
                 hit = ~np.isnan(got)
                 score[use[hit]] += got[hit]
-                done = np.zeros(len(mine), bool)
-                done[use[hit]] = True
                 if n:
                     miss = use[~hit]  # back off: the weight of the n-1 characters before
-                    back = model.values(finish(rolled[n - 1][miss - 1] if n > 1 else rolled[0][miss], n - 1, seed[miss], 1))
+                    back = model.values(finish(rolled[n - 1][at[miss] - 1] if n > 1 else rolled[0][at[miss]], n - 1, seed[at[miss]], 1))
                     score[miss] += np.nan_to_num(back, nan=0.0)
-                open_ = open_[~done[open_]]
+                open_ = np.setdiff1d(open_, use[hit], assume_unique=True)
         score[open_] = np.nan  # no model of this language
-        sums += np.bincount(doc[scored], weights=score[scored], minlength=len(texts))
+        sums += np.bincount(doc[scored], weights=score[codes], minlength=len(texts))
     return sums, counts
 
 
