@@ -2,9 +2,11 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from helpers import DOC, corpus, linked, prose, words
 
@@ -75,6 +77,49 @@ def test_topk_is_exact(spark):
     assert topk.search(none, none, 5).count() == 0
 
 
+def test_topk_is_exact_over_rounds(spark, monkeypatch):
+    """Many shards a task and one, several rounds and parts; ties, zeros, numbers beyond float32 and float64, another number of components."""
+    rng = np.random.default_rng(2)
+    data = np.floor(rng.normal(size=(900, 6)) * 40)
+    data[100:400] = data[7]  # one very common vector
+    data[500:520] = 0
+    data[600:640] *= 1 << 14
+    data[700:703] *= 1 << 40
+    rows = [(k, [float(x) for x in v]) for k, v in enumerate(data)] + [(k, [float(k % 3)]) for k in range(900, 1000, 25)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = [(k, [int(x) for x in v]) for k, v in rows]
+    wanted = []
+    for q, a in whole:
+        if q % 25 == 0:
+            scores = sorted((-max(-(1 << 63), min((1 << 63) - 1, sum(x * y for x, y in zip(a, b)))), k) for k, b in whole if k != q and len(a) == len(b))
+            wanted += [(q, i + 1, k, -s) for i, (s, k) in enumerate(scores[:5])]
+    for shards, blocks, shard_rows in ((16, 32, 128), (1, 1, 32)):
+        monkeypatch.setattr(topk, "SHARDS_A_TASK", shards)
+        monkeypatch.setattr(topk, "BLOCKS_A_TASK", blocks)
+        got = topk.search(df, df.where("vec_id % 25 = 0"), 5, shard_rows=shard_rows, block_rows=7).orderBy("query_id", "rank").collect()
+        assert [tuple(r) for r in got] == wanted
+
+
+def test_topk_asks_many_queries_at_once(spark, tmp_path):
+    """1e9 pairs, a quarter of the vectors one and the same: seconds of products, not of calls a query and row."""
+    rng = np.random.default_rng(3)
+    n = 240_000
+    data = np.floor(rng.normal(size=(n, 64)) * 32)
+    data[::4] = data[0]
+    pd.DataFrame({"vec_id": np.arange(n), "embedding": list(data)}).to_parquet(tmp_path / "vectors.parquet")
+    df = spark.read.parquet(str(tmp_path / "vectors.parquet"))
+    began = time.time()
+    got = topk.search(df, df.where("vec_id % 50 = 0"), 5).toPandas().sort_values(["query_id", "rank"])
+    assert time.time() - began < 40
+    assert len(got) == 5 * n // 50
+    for q in range(0, n, 4_000):
+        scores = (data @ data[q]).astype(np.int64)
+        scores[q] = np.iinfo(np.int64).min
+        best = np.lexsort((np.arange(n), -scores.astype(float)))[:5]
+        mine = got[got["query_id"] == q]
+        assert list(mine["vec_id"]) == list(best) and list(mine["score"]) == list(scores[best])
+
+
 # --- 3 personal data
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
