@@ -19,6 +19,8 @@ HASHES = BANDS * ROWS
 #: MinHash values compared at a time.
 STEP = 20
 SKETCH = "doc_id long, text_key long, fp binary, n int, sig binary"
+#: Bits of the filter that rows pass before their texts are dealt: at most BITS / 64 rows of two longs (4 MB) go to every task. Beyond some BITS wanted ids it lets all pass, and only the saving is gone.
+BITS = 1 << 24
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -90,8 +92,8 @@ def signatures(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def pieces(batch, most: int = 4 << 20):
-    """An Arrow batch in slices of about ``most`` bytes of text (column 1)."""
+def pieces(batch, most: int = 1 << 20):
+    """An Arrow batch in slices of about ``most`` bytes of text (column 1); arrays over the words of a slice take some 16 times its bytes."""
     import pyarrow.compute as pc
 
     size = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False))
@@ -117,6 +119,16 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"), F.xxhash64("text").alias("text_key")).mapInArrow(run, SKETCH)
 
 
+def maybe_wanted(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Those rows of ``rows`` (doc_id, text) whose id may be in ``ids`` (want): all that are, and of others the share of bits set."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS))
+    word, bit = F.floor(F.col("h") / 64).cast("long").alias("at"), (F.col("h") % 64).cast("int")
+    marks = ids.select(place("want").alias("h")).groupBy(word).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
+    told = F.call_function("shiftright", F.col("bits"), bit).bitwiseAND(F.lit(1).cast("long")) == 1
+    # BITS / 64 rows at most
+    return rows.withColumn("h", place("doc_id")).select("*", word).join(F.broadcast(marks), "at").where(told).select("doc_id", "text")
+
+
 def full_sets(docs: DataFrame) -> DataFrame:
     """Fingerprint and shingle set (array of long) of each text."""
 
@@ -307,11 +319,13 @@ def classes(docs: DataFrame, *, threshold: float = 0.8, tolerance: float = 1e-6,
     width = 2 * ROWS
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring("sig", k * width + 1, F.lit(width)))))
     banded = reps.select("fp", band.alias("bucket"))
-    sizes = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("met"), F.min("fp").alias("head")).where("met > 1")
+    # a count of longs is hashed; the least text would have all bands sorted, and only crowded ones need it
+    sizes = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("met")).where("met > 1")
     multi = stored(banded.join(sizes, "bucket"), "near-bands")
 
-    crowded = multi.where(F.col("met") > crowd)
-    clusters = stored(components(crowded.select(F.col("fp").alias("a"), F.col("head").alias("b"))), "near-clusters")
+    crowded = multi.where(F.col("met") > crowd).select("bucket", "fp")
+    heads = crowded.groupBy("bucket").agg(F.min("fp").alias("head"))
+    clusters = stored(components(crowded.join(heads, "bucket").select(F.col("fp").alias("a"), F.col("head").alias("b"))), "near-clusters")
     few = multi.where(F.col("met") <= crowd).select("bucket", "fp")
     pairs = few.join(few.withColumnRenamed("fp", "fp2"), "bucket").where("fp < fp2").select(F.col("fp").alias("a"), F.col("fp2").alias("b")).distinct()
     in_a, in_b = clusters.select(F.col("fp").alias("a"), F.col("root").alias("ra")), clusters.select(F.col("fp").alias("b"), F.col("root").alias("rb"))
@@ -330,9 +344,10 @@ def classes(docs: DataFrame, *, threshold: float = 0.8, tolerance: float = 1e-6,
     likely = stored(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(prune, "a binary, b binary"), "near-likely")
 
     needed = likely.select(F.col("a").alias("fp")).unionByName(likely.select(F.col("b").alias("fp"))).unionByName(clusters.select("fp")).distinct()
-    ids = needed.join(reps, "fp").select(F.col("least").alias("want")).distinct()
+    ids = stored(needed.join(reps, "fp").select(F.col("least").alias("want")).distinct(), "near-wanted")
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"))
-    texts = plain.join(ids, F.col("doc_id").eqNullSafe(F.col("want")), "left_semi")
+    # most texts are not wanted: the filter keeps them out of the shuffle; Spark would move a semi join below it, and ids are distinct
+    texts = maybe_wanted(plain, ids).join(ids, F.col("doc_id").eqNullSafe(F.col("want"))).select("doc_id", "text")
     sets = stored(full_sets(texts).dropDuplicates(["fp"]).join(reps.select("fp", "copies", "sig"), "fp"), "near-sets")
     whole = lambda x: sets.select(F.col("fp").alias(x), F.col("shingles").alias(f"set_{x}"), F.col("copies").alias(f"copies_{x}"))
     both = F.size(F.array_intersect("set_a", "set_b")).cast("double")

@@ -608,6 +608,48 @@ def test_unlinked_texts_of_null_or_one_id_all_stay(spark):
     assert got == sorted([(str(i), t) for i, t in zip(ids, texts, strict=True)] + [("7", ""), ("8", ""), ("None", "")])
 
 
+def test_sketching_holds_few_words_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = [prose(300, k) for k in range(40)] * 80
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    tracemalloc.start()
+    n = [len(near_dup.shingle_sets(part.column(1))[1]) - 1 for part in near_dup.pieces(batch)]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(n) == len(texts) and batch.nbytes > 6 << 20 and most < 30 << 20
+
+
+def test_bands_are_not_sorted_and_unwanted_texts_not_dealt(spark, monkeypatch):
+    plans, inner = {}, near_dup.stored
+
+    def told(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return inner(df, name)
+
+    monkeypatch.setattr(near_dup, "stored", told)
+    # the tables of a test would all be broadcast
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        near_dup.classes(corpus(spark, near_corpus()), crowd=1, chunk=5)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortAggregate" not in plans["near-bands"] and "HashAggregate" in plans["near-bands"]
+    below = plans["near-sets"].split("Exchange hashpartitioning(coalesce(doc_id")[1]
+    assert "BroadcastHashJoin" in below
+
+
+def test_wanted_ids_pass_the_filter_and_few_others(spark):
+    rows = spark.range(-5000, 5000).selectExpr("id as doc_id", "'x' as text").unionByName(spark.createDataFrame([(None, "y")], "doc_id long, text string"))
+    ids = spark.range(-5000, 5000, 100).selectExpr("id as want").unionByName(spark.createDataFrame([(None,)], "want long"))
+    got = [r.doc_id for r in near_dup.maybe_wanted(rows, ids).collect()]
+    wanted = {None, *range(-5000, 5000, 100)}
+    assert wanted <= set(got) and len(got) == len(set(got)) <= len(wanted) + 20
+    assert near_dup.maybe_wanted(rows, ids.limit(0)).count() == 0
+
+
 def test_posterior_rule():
     rules = near_dup.least_matches(0.8, 1e-6)
     assert all(0 < m < n for n, m in rules) and rules == sorted(rules)
